@@ -31,3 +31,41 @@ def decontamination(docs, items, window=10):
                     names |= own
         out[doc] = (len(w), len(hit), len(names), sha(",".join(sorted(names))), bool(hit))
     return out
+
+
+def shingles(text, n=5):
+    w = words(text, rb"[^\x20\x09-\x0D]+")
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n, 0) + 1))
+
+
+def similar(docs, p=75, q=100):
+    sets = [(d, shingles(t)) for d, t in docs]
+    top = {i: i for i in range(len(sets))}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    where = {}
+    for i, (_, s) in enumerate(sets):
+        for e in s:
+            where.setdefault(e, []).append(i)
+    for i, (_, s) in enumerate(sets):
+        shared = {}
+        for e in s:
+            for j in where[e]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if q * n >= p * (len(s) + len(sets[j][1]) - n):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        r = root(i)
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    return sorted(((d, len(s), least.get(root(i), d)) for i, (d, s) in enumerate(sets)), key=str)
