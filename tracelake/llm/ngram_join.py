@@ -11,12 +11,19 @@ these k). A set that happens to fill at most k_i ranges also signs each single e
 which two such sets meet. A set signs for its own band and for each lower band whose sets
 can be similar to it.
 
+There are more ranges than k_i + 1, so a similar pair shares at least c = (filled ranges -
+k_i) signatures. Frequent passages give signatures that very many dissimilar sets share;
+each set leaves out its most frequent signatures, c - 1 at most, in one order for all sets:
+the rarest signature that a pair shares then stays with both, so no pair is lost.
+
 Signatures travel as packed words (48 bits of hash, 16 bits of row number in the chunk),
 grouped by hash bucket, so that a shuffled row holds hundreds of them. Documents with equal
 sets become one class before any comparison. Candidates are first linked as stars: each
 class with the smallest class of each signature they share; only classes that a star leaves
 in different components are compared with each other, so that a large group of near copies
-costs about as many comparisons as it has members. Every candidate is verified on the sets.
+costs about as many comparisons as it has members. Before a candidate is verified on the
+sets, a histogram of 256 cells must allow it: the sum of the cells' differences is a lower
+bound of the number of differing elements.
 
 Shingle hashes have 48 bits: two different shingles of one document, or of one pair, are
 taken for one with a probability of about size^2 / 2^49 (1e-9 for 600 shingles).
@@ -29,7 +36,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +47,9 @@ WORDS = 5
 #: Similarity as a fraction of whole numbers, compared without rounding.
 THRESHOLD = (75, 100)
 RATIO = 1.5
-FILL = 0.68
+FILL = 0.85
+#: Members of a signature's group that are compared as one block.
+BLOCK = 4096
 _LOW16 = tk.U64(0xFFFF)
 
 
@@ -74,8 +83,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     return packed & tk.U64((1 << 48) - 1), np.bincount((packed >> tk.U64(48)).astype(np.int64), minlength=len(counts))
 
 
-def signatures(elements: np.ndarray, counts: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of each row's set."""
+def signatures(elements: np.ndarray, counts: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row) of each row's set, and how many signatures a row shares at least with a similar row."""
+    least = np.full(len(counts), 1 << 30, np.int64)
     p, q = threshold
     low, k, n = bands(threshold, int(counts.max(initial=0)))
     low_a, k_a, n_a = (np.array(x, np.int64) for x in (low, k, n))
@@ -103,10 +113,26 @@ def signatures(elements: np.ndarray, counts: np.ndarray, threshold: tuple[int, i
         out_s.append(tk.mix64(sums + tk.seeded(tag, 41)))
         out_r.append(row[start])
         filled = np.bincount(row[start], minlength=len(counts))
+        least[rows] = np.minimum(least[rows], filled[rows] - k_a[band[rows]])
         poor = filled[row] <= k_a[b]
         out_s.append(tk.mix64(mixed[at[poor]] + tk.seeded(b[poor].astype(np.uint64), 43)))
         out_r.append(row[poor])
-    return (np.concatenate(out_s), np.concatenate(out_r)) if out_s else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    least = np.clip(least, 1, None)
+    return (np.concatenate(out_s), np.concatenate(out_r), least) if out_s else (np.zeros(0, np.uint64), np.zeros(0, np.int64), least)
+
+
+def sketches(elements: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A histogram of each row's elements, cells cut off at 255."""
+    cell = tk.row_of(counts) * 256 + (elements >> tk.U64(40)).astype(np.int64)
+    table = np.minimum(np.bincount(cell, minlength=256 * len(counts)), 255).astype(np.uint8).tobytes()
+    return [table[256 * i : 256 * i + 256] for i in range(len(counts))]
+
+
+def most_differences(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The largest number of differing elements that sizes x and y allow a similar pair."""
+    p, q = threshold
+    total = x.astype(np.int64) + y
+    return total - 2 * -(-p * total // (p + q))
 
 
 def set_keys(elements: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
@@ -128,27 +154,27 @@ def packed_rows(signature: np.ndarray, row: np.ndarray, buckets: int):
         yield int(bucket[a]), words[a:b]
 
 
-_ITEM = [T.StructField("chunk", T.LongType()), T.StructField("row", T.IntegerType())]
-GROUPS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("gid", T.LongType()), *_ITEM])
+GROUPS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("gid", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("row", T.IntegerType())])
 
 
-def shared_groups(chunk: np.ndarray, words: np.ndarray, row_mask: int = 0xFFFF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gid, chunk, row) of the signatures that two rows or more have; equal groups are told once."""
+def shared_groups(chunk: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gid, times, chunk, row) of the signatures that two rows or more have; equal groups are told once, with their number."""
     sig = words >> tk.U64(16)
     order = np.argsort(sig, kind="stable")
-    sig, chunk, row = sig[order], chunk[order], (words[order] & _LOW16).astype(np.int64) & row_mask
+    sig, chunk, row = sig[order], chunk[order], (words[order] & _LOW16).astype(np.int64)
     start = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ tk.U64(1))) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(sig)))
     many = np.repeat(size > 1, size)
-    start, size = start[size > 1], size[size > 1]
+    size = size[size > 1]
     chunk, row = chunk[many], row[many]
     member = tk.seeded(chunk.astype(np.uint64) * tk.U64(0x10001) + row.astype(np.uint64), 61)
     gid = tk.mix64(tk.segment_sum(member, tk.starts_of(size)) + size.astype(np.uint64))
-    _, told = np.unique(gid, return_index=True)
-    keep = np.zeros(len(gid), bool)
-    keep[told] = True
-    keep = np.repeat(keep, size)
-    return np.repeat(gid, size)[keep].view(np.int64), chunk[keep], row[keep]
+    _, told, times = np.unique(gid, return_index=True, return_counts=True)
+    each = np.zeros(len(gid), np.int32)
+    each[told] = times
+    each = np.repeat(each, size)
+    keep = each > 0
+    return np.repeat(gid, size)[keep].view(np.int64), each[keep], chunk[keep], row[keep].astype(np.int32)
 
 
 def chunk_number(sequence: int) -> int:
@@ -159,7 +185,7 @@ def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: in
     """Rows (bucket, chunk, words) of signatures, and one (doc_ids, sizes, keys) row per chunk, under bucket -1."""
     schema = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("words", T.BinaryType()),
-        T.StructField("docs", T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema["d"].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType())]))),
+        T.StructField("docs", T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema["d"].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())]))),
     ])
     arrow = [pa.field("bucket", pa.int32()), pa.field("chunk", pa.int64()), pa.field("words", pa.binary())]
 
@@ -170,14 +196,15 @@ def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: in
                 chunk, number = chunk_number(number), number + 1
                 elements, counts = shingle_sets(part.column(1), words)
                 keys = set_keys(elements, counts)
-                told = pa.StructArray.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
-                kind = pa.schema([*arrow, pa.field("docs", pa.list_(told.type))])
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
                 # copies within the chunk sign once
                 seen: dict = {}
                 first = np.array([seen.setdefault(key, i) == i and key is not None for i, key in enumerate(keys)], bool)
-                kept = np.repeat(first, counts)
-                rows = list(packed_rows(*signatures(elements[kept], np.where(first, counts, 0), threshold), buckets))
+                signature, row, least = signatures(elements[np.repeat(first, counts)], np.where(first, counts, 0), threshold)
+                shape = [s if f else None for s, f in zip(sketches(elements, counts), first.tolist(), strict=True)]
+                told = pa.StructArray.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(least), pa.array(shape, pa.binary())], ["doc_id", "n", "key", "least", "sketch"])
+                kind = pa.schema([*arrow, pa.field("docs", pa.list_(told.type))])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
+                rows = list(packed_rows(signature, row, buckets))
                 if rows:
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * n, pa.int64()), tk.binary([w for _, w in rows]), pa.nulls(n, pa.list_(told.type))], schema=kind)
@@ -185,8 +212,11 @@ def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: in
     return docs.mapInArrow(sign, schema)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(key, n, elements) of each class of docs; elements: 6 bytes each."""
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(key, elements) of the classes with the given keys, from one document each; elements: 6 bytes each."""
+    wanted = stored(classes.join(keys, "key", "left_semi").select(F.col("top").alias("d"), "key"))
+    ids = if_small(wanted.select(F.col("d").alias("w")).distinct())
+    texts = docs.join(ids, docs["d"].eqNullSafe(ids["w"]), "left_semi").select("t")
 
     def sets(batches):
         for batch in batches:
@@ -196,7 +226,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 cells = elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(elements, counts), pa.binary()), tk.binary([cells[first[i] : first[i + 1]] for i in range(len(counts))])], ["key", "elements"])
 
-    return docs.mapInArrow(sets, "key binary, elements binary")
+    return stored(texts.mapInArrow(sets, "key binary, elements binary").join(if_small(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"]))
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -243,38 +273,128 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     # one pass over the texts: what a chunk says of its documents travels beside its signatures
     told = stored(_told(signed, parts, docs.schema[doc_id].dataType))
     members = told.where("kind = 0").select("chunk", "row", "doc_id", "n", "key")
-    classes = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    grouped = told.where("kind = 1").select("gid", "chunk", "row")
-    in_groups = grouped.join(members.select("chunk", "row", "key", "n"), ["chunk", "row"]).select("gid", "key", "n").distinct()
-    least = in_groups.groupBy("gid").agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").select("gid", "a")
-    in_groups = stored(in_groups.join(least, "gid"))
-    sizes = in_groups.select("key", "n").distinct()
-    stars = stored(in_groups.where("a <> key").select("a", F.col("key").alias("b"), F.col("n").alias("nb")).distinct().join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").where(f"{q} * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b"))
-    wanted = stored(classes.join(in_groups.select("key").distinct(), "key", "left_semi").select(F.col("least").alias("d")).distinct())
-    sets = stored(_sets(own.join(if_small(wanted), "d", "left_semi").select("t"), words).join(in_groups.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    links = stored(verified(stars, sets, threshold))
+    classes = told.where("kind = 0 and key is not null").groupBy("key").agg(F.min("doc_id").alias("top"), F.first("n").alias("n"), F.min("least").alias("least"), F.first("sketch", True).alias("sketch"))
+    classes = stored(classes)
+    grouped = stored(_class_groups(told.where("kind = 1"), members, classes))
+    allowed = stored(_allowed(_stars(grouped), classes, threshold))
+    sets = _sets(own, allowed.select(F.col("a").alias("key")).union(allowed.select(F.col("b").alias("key"))).distinct(), classes, words)
+    # first each class with the smallest class that shares most of its signatures, then what this leaves apart
+    nearest = allowed.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    links = stored(verified(nearest, sets, threshold))
     roots = components(links)
-    # what the stars have left apart, compared member by member
-    label = in_groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
-    open_groups = label.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("gid")
-    label = label.join(open_groups, "gid")
-    x, y = (label.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "root"))) for s in ("x", "y"))
-    rest = x.join(y, "gid").where(f"key_x < key_y and root_x <> root_y and {q} * least(n_x, n_y) >= {p} * greatest(n_x, n_y)")
-    rest = stored(rest.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    others = stored(_apart(allowed.select("a", "b").join(nearest, ["a", "b"], "left_anti"), roots))
+    if not others.isEmpty():
+        links = stored(links.union(verified(others, sets, threshold)))
+        roots = components(links)
+    rest = stored(_across(grouped, classes, roots, threshold, parts).join(_stars(grouped).select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
+        sets = _sets(own, rest.select(F.col("a").alias("key")).union(rest.select(F.col("b").alias("key"))).distinct(), classes, words)
         more = stored(verified(rest, sets, threshold))
         if not more.isEmpty():
             roots = components(links.union(more))
-    linked = roots.join(classes.select(F.col("key").alias("node"), "least"), "node")
-    tops = linked.groupBy("root").agg(F.min("least").alias("top")).join(classes.select(F.col("key").alias("root"), F.col("least").alias("own")), "root").select("root", F.least("top", "own").alias("top"))
-    placed = roots.join(tops, "root").select(F.col("node").alias("key"), "top").union(tops.select(F.col("root").alias("key"), "top"))
-    final = classes.select("key", "least").join(placed, "key", "left").select("key", F.coalesce("top", "least").alias("component_id"))
+    tops = classes.select("key", "top")
+    placed = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = placed.join(tops, placed["node"] == tops["key"]).groupBy("root").agg(F.min("top").alias("component_id"))
+    placed = placed.join(least, "root").select(F.col("node").alias("key"), "component_id")
+    final = tops.join(placed, "key", "left").select("key", F.coalesce("component_id", "top").alias("component_id"))
     return members.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _class_groups(groups: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(gid, key, times, n): the groups of two classes or more, without each class's most frequent signatures."""
+    groups = groups.groupBy("gid", "chunk", "row").agg(F.sum("times").alias("times"))
+    found = groups.join(members.select("chunk", "row", "key"), ["chunk", "row"]).groupBy("gid", "key").agg(F.max("times").alias("times"))
+    sizes = found.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
+    found = found.join(sizes, "gid").join(classes.select("key", "n", "least"), "key")
+    order = Window.partitionBy("key").orderBy(F.desc("m"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("before", F.sum("times").over(order)).where("before >= least").select("gid", "key", "times", "n")
+
+
+def _stars(grouped: DataFrame) -> DataFrame:
+    """(a, b, times): each class b with the smallest class a of each group, and the signatures by which they meet."""
+    centre = grouped.groupBy("gid").agg(F.min("key").alias("a"))
+    return grouped.join(centre, "gid").where("a <> key").groupBy("a", F.col("key").alias("b")).agg(F.sum("times").alias("times"))
+
+
+def _allowed(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b, times) that sizes and sketches allow."""
+
+    def check(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for i in (3, 4))
+            n, m = (batch.column(i).to_numpy() for i in (5, 6))
+            fits = _sizes_fit(n, m, threshold) & (np.abs(x - y).sum(axis=1) <= most_differences(n, m, threshold))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["a", "b", "times"]).filter(pa.array(fits))
+
+    x, y = (classes.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "times", "sa", "sb", "na", "nb")
+    return both.mapInArrow(check, "a binary, b binary, times long")
+
+
+def _sizes_fit(n: np.ndarray, m: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    return threshold[1] * np.minimum(n, m) >= threshold[0] * np.maximum(n, m)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes aren't in one component yet."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    return pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
+def _across(grouped: DataFrame, classes: DataFrame, roots: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
+    """The pairs (a, b) of one group in different components that sizes and sketches allow.
+
+    Groups are cut into blocks of about BLOCK members; each pair of blocks is a unit of
+    work of its own, so that a large group is spread over tasks.
+    """
+    label = grouped.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
+    mixed = label.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("r <> s").select("gid", "blocks")
+    label = label.join(mixed, "gid").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    label = label.select("gid", "key", "n", "root", "own", other.alias("other")).select("gid", "key", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    label = label.join(classes.select("key", "sketch"), "key")
+
+    def check(batches):
+        held, unit = [], None
+
+        def flush():
+            keys = [h[0] for h in held]
+            n = np.array([h[1] for h in held])
+            names: dict = {}
+            root = np.array([names.setdefault(h[2], len(names)) for h in held])
+            block = np.array([h[3] for h in held])
+            table = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, 256).astype(np.int16)
+            a, b = [], []
+            for i in range(len(held) - 1):
+                later = np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) | (unit[1] == unit[2])) & _sizes_fit(n[i + 1 :], n[i], threshold)) + i + 1
+                if len(later):
+                    later = later[np.abs(table[later] - table[i]).sum(axis=1) <= most_differences(n[later], n[i], threshold)]
+                for k in later.tolist():
+                    x, y = sorted((keys[i], keys[k]))
+                    a.append(x)
+                    b.append(y)
+            held.clear()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for gid, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (gid, i, j) != unit:
+                    if held:
+                        yield from flush()
+                    unit = (gid, i, j)
+                held.append(row)
+        if held:
+            yield from flush()
+
+    spread = label.select("gid", "i", "j", "key", "n", "root", "own", "sketch").repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    return spread.mapInArrow(check, "a binary, b binary").distinct()
+
+
 def _told(signed: DataFrame, parts: int, id_type: T.DataType) -> DataFrame:
     """The rows of members (kind 0) and of groups (kind 1), by one shuffle of what was signed."""
-    schema = T.StructType([*GROUPS.fields, T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType())])
+    schema = T.StructType([*GROUPS.fields, T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def split(batches):
         held: list[tuple[int, int, bytes]] = []
@@ -283,22 +403,22 @@ def _told(signed: DataFrame, parts: int, id_type: T.DataType) -> DataFrame:
         def flush():
             words = [np.frombuffer(w, np.uint64) for _, _, w in held]
             chunk = np.repeat(np.array([c for _, c, _ in held], np.int64), [len(w) for w in words])
-            gid, chunk, row = shared_groups(chunk, np.concatenate(words))
+            found = shared_groups(chunk, np.concatenate(words))
             held.clear()
-            for i in range(0, len(gid), 100_000):
-                s = slice(i, i + 100_000)
-                m = len(gid[s])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(gid[s]), pa.array(chunk[s]), pa.array(row[s].astype(np.int32)), *(pa.nulls(m, t) for t in kinds)], schema.names)
+            for i in range(0, len(found[0]), 100_000):
+                some = [x[i : i + 100_000] for x in found]
+                m = len(some[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *map(pa.array, some), *(pa.nulls(m, t) for t in kinds)], schema.names)
 
         for batch in batches:
             inner = batch.column(3).type.value_type
-            kinds = kinds or [inner.field(i).type for i in range(3)]
+            kinds = kinds or [inner.field(i).type for i in range(5)]
             buckets = batch.column(0).to_pylist()
             for i, (bucket, chunk, words) in enumerate(zip(buckets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if bucket < 0:
                     rows = batch.column(3).slice(i, 1).flatten()
                     m = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(np.full(m, chunk, np.int64)), pa.array(np.arange(m, dtype=np.int32)), *rows.flatten()], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(np.full(m, chunk, np.int64)), pa.array(np.arange(m, dtype=np.int32)), *rows.flatten()], schema.names)
                     continue
                 if held and held[-1][0] != bucket:
                     yield from flush()
