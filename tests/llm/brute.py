@@ -69,3 +69,27 @@ def similar(docs, p=75, q=100):
         if d is not None:
             least[r] = min(least.get(r, d), d)
     return sorted(((d, len(s), least.get(root(i), d)) for i, (d, s) in enumerate(sets)), key=str)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def line_dedup(docs, edits, least, near=lambda a, b, k: abs(len(a) - len(b)) <= k and distance(a, b) <= k):
+    """The texts after line dedup, in the order of docs."""
+    seen, lost = [], {}
+    unique = {(d, t): None for d, t in docs}
+    for d, t in sorted(unique, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines, out = (t or "").split("\n"), []
+        for line in lines:
+            if len(line) < least or not any(near(line, s, edits) for s in seen):
+                out.append(line)
+            if len(line) >= least:
+                seen.append(line)
+        lost[d, t] = t if t is None else "\n".join(out)
+    return [lost[x] for x in docs]

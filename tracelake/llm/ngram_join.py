@@ -35,13 +35,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .shared import components, if_small, partitions, stored
+from .signing import chunk_number, packed_rows, told_rows
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers, compared without rounding.
@@ -50,7 +50,6 @@ RATIO = 1.5
 FILL = 0.85
 #: Members of a signature's group that are compared as one block.
 BLOCK = 4096
-_LOW16 = tk.U64(0xFFFF)
 
 
 def bands(threshold: tuple[int, int], largest: int) -> tuple[list[int], list[int], list[int]]:
@@ -143,49 +142,11 @@ def set_keys(elements: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [keys[16 * i : 16 * i + 16] if c else None for i, c in enumerate(counts.tolist())]
 
 
-def packed_rows(signature: np.ndarray, row: np.ndarray, buckets: int):
-    """(bucket, words): signatures by bucket; a word is 48 bits of signature and 16 of row."""
-    bucket = (signature >> tk.U64(48)) * tk.U64(buckets) >> tk.U64(16)
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    words = ((signature << tk.U64(16)) | row.astype(np.uint64))[order]
-    bucket = bucket[order]
-    start = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ tk.U64(1))) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(start, np.append(start[1:], len(words)), strict=True):
-        yield int(bucket[a]), words[a:b]
-
-
-GROUPS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("gid", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("row", T.IntegerType())])
-
-
-def shared_groups(chunk: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gid, times, chunk, row) of the signatures that two rows or more have; equal groups are told once, with their number."""
-    sig = words >> tk.U64(16)
-    order = np.argsort(sig, kind="stable")
-    sig, chunk, row = sig[order], chunk[order], (words[order] & _LOW16).astype(np.int64)
-    start = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ tk.U64(1))) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(sig)))
-    many = np.repeat(size > 1, size)
-    size = size[size > 1]
-    chunk, row = chunk[many], row[many]
-    member = tk.seeded(chunk.astype(np.uint64) * tk.U64(0x10001) + row.astype(np.uint64), 61)
-    gid = tk.mix64(tk.segment_sum(member, tk.starts_of(size)) + size.astype(np.uint64))
-    _, told, times = np.unique(gid, return_index=True, return_counts=True)
-    each = np.zeros(len(gid), np.int32)
-    each[told] = times
-    each = np.repeat(each, size)
-    keep = each > 0
-    return np.repeat(gid, size)[keep].view(np.int64), each[keep], chunk[keep], row[keep].astype(np.int32)
-
-
-def chunk_number(sequence: int) -> int:
-    return (TaskContext.get().partitionId() << 32) | sequence
-
-
 def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: int) -> DataFrame:
     """Rows (bucket, chunk, words) of signatures, and one (doc_ids, sizes, keys) row per chunk, under bucket -1."""
     schema = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("words", T.BinaryType()),
-        T.StructField("docs", T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema["d"].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())]))),
+        T.StructField("members", T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema["d"].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())]))),
     ])
     arrow = [pa.field("bucket", pa.int32()), pa.field("chunk", pa.int64()), pa.field("words", pa.binary())]
 
@@ -202,7 +163,7 @@ def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: in
                 signature, row, least = signatures(elements[np.repeat(first, counts)], np.where(first, counts, 0), threshold)
                 shape = [s if f else None for s, f in zip(sketches(elements, counts), first.tolist(), strict=True)]
                 told = pa.StructArray.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(least), pa.array(shape, pa.binary())], ["doc_id", "n", "key", "least", "sketch"])
-                kind = pa.schema([*arrow, pa.field("docs", pa.list_(told.type))])
+                kind = pa.schema([*arrow, pa.field("members", pa.list_(told.type))])
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
                 rows = list(packed_rows(signature, row, buckets))
                 if rows:
@@ -271,7 +232,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     own = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     signed = _signed(own, words, threshold, buckets)
     # one pass over the texts: what a chunk says of its documents travels beside its signatures
-    told = stored(_told(signed, parts, docs.schema[doc_id].dataType))
+    told = stored(told_rows(signed, parts))
     members = told.where("kind = 0").select("chunk", "row", "doc_id", "n", "key")
     classes = told.where("kind = 0 and key is not null").groupBy("key").agg(F.min("doc_id").alias("top"), F.first("n").alias("n"), F.min("least").alias("least"), F.first("sketch", True).alias("sketch"))
     classes = stored(classes)
@@ -390,43 +351,3 @@ def _across(grouped: DataFrame, classes: DataFrame, roots: DataFrame, threshold:
 
     spread = label.select("gid", "i", "j", "key", "n", "root", "own", "sketch").repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     return spread.mapInArrow(check, "a binary, b binary").distinct()
-
-
-def _told(signed: DataFrame, parts: int, id_type: T.DataType) -> DataFrame:
-    """The rows of members (kind 0) and of groups (kind 1), by one shuffle of what was signed."""
-    schema = T.StructType([*GROUPS.fields, T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("least", T.LongType()), T.StructField("sketch", T.BinaryType())])
-
-    def split(batches):
-        held: list[tuple[int, int, bytes]] = []
-        kinds = None
-
-        def flush():
-            words = [np.frombuffer(w, np.uint64) for _, _, w in held]
-            chunk = np.repeat(np.array([c for _, c, _ in held], np.int64), [len(w) for w in words])
-            found = shared_groups(chunk, np.concatenate(words))
-            held.clear()
-            for i in range(0, len(found[0]), 100_000):
-                some = [x[i : i + 100_000] for x in found]
-                m = len(some[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), *map(pa.array, some), *(pa.nulls(m, t) for t in kinds)], schema.names)
-
-        for batch in batches:
-            inner = batch.column(3).type.value_type
-            kinds = kinds or [inner.field(i).type for i in range(5)]
-            buckets = batch.column(0).to_pylist()
-            for i, (bucket, chunk, words) in enumerate(zip(buckets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if bucket < 0:
-                    rows = batch.column(3).slice(i, 1).flatten()
-                    m = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(np.full(m, chunk, np.int64)), pa.array(np.arange(m, dtype=np.int32)), *rows.flatten()], schema.names)
-                    continue
-                if held and held[-1][0] != bucket:
-                    yield from flush()
-                held.append((bucket, chunk, words))
-        if held:
-            yield from flush()
-
-    # rows about documents go by their chunk, signatures by their bucket
-    key = F.when(F.col("bucket") < 0, F.hash("chunk")).otherwise(F.col("bucket"))
-    spread = signed.repartition(parts, key).sortWithinPartitions("bucket")
-    return spread.mapInArrow(split, schema)
