@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, language_id, line_dedup, ngram_join, quality
+from . import bpe, chat, decontamination, language_id, line_dedup, merkle, ngram_join, privacy, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.history(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(chat.HOSTILE, "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -43,9 +55,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.phrase_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+_QUERIES = (op1_language_id, op2_bpe, op3_token_counts, op4_ngram_join, op5_fingerprints, op6_line_dedup, op7_privacy, op8_chat_formatting, op9_quality, op10_decontamination)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op4_ngram_join, op6_line_dedup, op8_chat_formatting, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_token_counts": token_counts.ORACLE, "op5_fingerprints": merkle.ORACLE}
