@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,6 +145,20 @@ def _keys(hasher: tk.SpanHasher, start: np.ndarray, length: np.ndarray) -> np.nd
     return np.stack([hasher(start, start + length, s) for s in (91, 92)], axis=1).astype(">u8")
 
 
+def _binary(keys: np.ndarray) -> pa.Array:
+    """The rows of a key table as binaries, without a loop."""
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
+def _strings(column: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The lines at these code points as strings, cut from the column's bytes."""
+    data, _ = tk.utf8(column)
+    byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    cuts = np.stack([byte[start], byte[start + length]], axis=1).ravel().astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), max(len(cuts) - 1, 0), [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(np.ascontiguousarray(data))]) if len(cuts) else pa.array([], pa.large_string())
+    return pieces.take(pa.array(np.arange(0, len(cuts), 2))).cast(pa.string())
+
+
 def _signed(docs: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:
     member = T.StructType([T.StructField("d", docs.schema["d"].dataType), T.StructField("rk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("key", T.BinaryType())])
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("members", T.ArrayType(member))])
@@ -160,8 +174,7 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:
                 for i in range(0, len(start), ROWS):
                     s = slice(i, i + ROWS)
                     chunk, sequence = chunk_number(sequence), sequence + 1
-                    raw = keys[s].tobytes()
-                    told = pa.StructArray.from_arrays([*(part.column(k).take(pa.array(row[s])) for k in (0, 1)), pa.array(number[s].astype(np.int32)), pa.array(length[s].astype(np.int32)), pa.array([raw[j : j + 16] for j in range(0, len(raw), 16)], pa.binary())], names)
+                    told = pa.StructArray.from_arrays([*(part.column(k).take(pa.array(row[s])) for k in (0, 1)), pa.array(number[s].astype(np.int32)), pa.array(length[s].astype(np.int32)), _binary(keys[s])], names)
                     kind = pa.schema([pa.field("bucket", pa.int32()), pa.field("chunk", pa.int64()), pa.field("words", pa.binary()), pa.field("members", pa.list_(told.type))])
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
                     # equal lines of the chunk sign once
@@ -181,10 +194,8 @@ def _texts(docs: DataFrame, keys: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for part in tk.chunks(batch, "t"):
                 cells, start, length, _, _ = _lines(part.column(0), least)
-                raw = _keys(tk.SpanHasher.of_codepoints(cells), start, length).tobytes()
-                whole = cells.astype("<u4").tobytes()
-                text = [whole[4 * a : 4 * (a + n)].decode("utf-32-le") for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([raw[j : j + 16] for j in range(0, len(raw), 16)], pa.binary()), pa.array(text, pa.string())], ["key", "line"])
+                keys = _keys(tk.SpanHasher.of_codepoints(cells), start, length)
+                yield pa.RecordBatch.from_arrays([_binary(keys), _strings(part.column(0), start, length)], ["key", "line"])
 
     found = docs.select("t").mapInArrow(lines, "key binary, line string")
     return found.join(if_small(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
@@ -274,9 +285,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, d
     # lines that no group's earliest line explains, against the other earlier lines of their groups
     late = met.join(earliest, "gid").join(near.select(F.col("b").alias("key"), F.lit(True).alias("done")), "key", "left")
     late = late.withColumn("late", F.col("done").isNull() & (F.col("key") != F.col("e.key")))
-    order = Window.partitionBy("gid").orderBy("first", "key")
     asked = late.groupBy("gid").agg(F.max("late").alias("any"), F.count("*").alias("m")).where("any and m > 2").select("gid")
-    del order
     open_groups = late.join(asked, "gid").join(texts, "key").select("gid", "key", "first", "length", "line", "late")
     near = near.union(_near_earlier(open_groups, edits, parts)).distinct()
     bad = classes.join(near.select(F.col("b").alias("key"), F.lit(True).alias("near")), "key", "left").where("n > 1 or near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
