@@ -29,7 +29,14 @@ def run_to_end(spark: SparkSession, path: str, query, mode: str = "complete") ->
     """The result of a streaming query over the rows that are at path now, read from a Parquet sink."""
     schema = spark.read.parquet(path).schema
     base = scratch(spark)
-    stream = query(spark.readStream.schema(schema).parquet(path))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        # a stream's source is a folder: this file's, with no other file of it
+        folder, _, name = path.rpartition("/")
+        stream = query(reader.option("pathGlobFilter", name).parquet(folder))
+    else:
+        stream = query(reader.parquet(path))
     out = f"{base}/out"
 
     def sink(batch: DataFrame, number: int) -> None:
