@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,7 +303,7 @@ def _joined(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left (long lines that stay)."""
+    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the long lines that stay in a document that lost any, null in others."""
     drops = stored(dropped_lines(docs, edits, least, doc_id, text))
     joined = _joined(docs, drops, doc_id, text)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_left")]
@@ -312,15 +313,22 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, do
     def rewrite(batches):
         for batch in batches:
             for part in tk.chunks(batch, text):
-                texts, counts = [], []
-                for whole, gone in zip(part.column(place).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
-                    found = (whole or "").split("\n")
-                    drop = set(gone or ())
-                    left = sum(len(x) >= least for i, x in enumerate(found) if i not in drop)
-                    texts.append("\n".join(x for i, x in enumerate(found) if i not in drop) if drop else whole)
-                    counts.append((len(found) if whole else 0, len(drop), left))
-                arrays = [pa.array(texts, pa.string()) if i == place else part.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], schema.names)
+                n = part.num_rows
+                data, offsets = tk.utf8(part.column(place))
+                breaks = np.append(0, np.cumsum(data == 10))[offsets]
+                total = np.where(np.diff(offsets) > 0, np.diff(breaks) + 1, 0)
+                dropped, left = np.zeros(n, np.int64), [None] * n
+                lost = part.column(len(columns)).is_valid()
+                rows = np.flatnonzero(lost.to_numpy(zero_copy_only=False))
+                texts = []
+                for r, whole, gone in zip(rows.tolist(), part.column(place).filter(lost).to_pylist(), part.column(len(columns)).filter(lost).to_pylist(), strict=True):
+                    drop = set(gone)
+                    kept = [x for i, x in enumerate(whole.split("\n")) if i not in drop]
+                    texts.append("\n".join(kept))
+                    dropped[r], left[r] = len(drop), sum(len(x) >= least for x in kept)
+                fresh = pc.replace_with_mask(part.column(place), lost, pa.array(texts, part.column(place).type))
+                arrays = [fresh if i == place else part.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(dropped), pa.array(left, pa.int64())], schema.names)
 
     return joined.select(*columns, "__lines").mapInArrow(rewrite, schema)
 

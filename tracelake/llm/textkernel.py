@@ -34,6 +34,7 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 _BYTE_VALUE = seeded(np.arange(256, dtype=np.uint64), 7) | U64(1)
+_POINT_VALUE = seeded(np.arange(1 << 16, dtype=np.uint64), 7) | U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -123,7 +124,10 @@ class SpanHasher:
 
     @classmethod
     def of_codepoints(cls, data: np.ndarray) -> SpanHasher:
-        return cls(seeded(data.astype(np.uint64), 7) | U64(1))
+        values = _POINT_VALUE[np.minimum(data, 0xFFFF)]
+        high = np.flatnonzero(data > 0xFFFF)
+        values[high] = seeded(data[high].astype(np.uint64), 7) | U64(1)
+        return cls(values)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         h = (self.total[ends] - self.total[starts]) * self.down[starts]
