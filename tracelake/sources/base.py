@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.functions.storage import written
 from tracelake.plans import schema
 
 Record = tuple[str, dict]
@@ -52,10 +53,10 @@ def register(source: Source) -> Source:
     return source
 
 
-def files(spark: SparkSession, root: str, source: Source) -> DataFrame:
-    """(path, modified, size, content) of a source's files below root."""
+def files(spark: SparkSession, root: str, *sources: Source) -> DataFrame:
+    """(path, modified, size, content) of the sources' files below root."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.where(F.col("path").rlike(source.pattern)).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    return found.where(F.col("path").rlike("|".join(f"(?:{s.pattern})" for s in sources))).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
 def changed_files(found: DataFrame, state: DataFrame) -> DataFrame:
@@ -71,17 +72,22 @@ def cursors(found: DataFrame) -> DataFrame:
     return found.select(F.col("path").alias("jsonl_path"), F.unix_millis("modified").cast("double").alias("mtime"), F.lit(None).cast("long").alias("lines_processed"), F.lit(0).alias("replay_required"), mark.alias("cursor"), F.unix_millis("modified").alias("seq"))
 
 
-def records(found: DataFrame, source: Source) -> DataFrame:
-    """RECORDS of all units of the files."""
-    unit = F.udf(source.unit_of, "string")
+def records(found: DataFrame, *sources: Source) -> DataFrame:
+    """RECORDS of all units of the files, each unit parsed once, in one task, whatever source it is of."""
+    by_name = {s.name: s for s in sources}
+
+    @F.udf("array<struct<source:string,unit:string>>")
+    def owners(path: str):
+        return [(s.name, s.unit_of(path)) for s in by_name.values() if re.search(s.pattern, path)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = {p: bytes(c) for p, c in sorted(zip(group["path"], group["content"], strict=True))}
-        key = group["unit"].iloc[0]
-        out = [(source.name, key, i, kind, row.get("session_id") or (row.get("id") if kind == "sessions" else None), json.dumps(row, ensure_ascii=False)) for i, (kind, row) in enumerate(source.parse(own))]
+        name, key = group["source"].iloc[0], group["unit"].iloc[0]
+        out = [(name, key, i, kind, row.get("session_id") or (row.get("id") if kind == "sessions" else None), json.dumps(row, ensure_ascii=False)) for i, (kind, row) in enumerate(by_name[name].parse(own))]
         return pd.DataFrame(out, columns=["source", "unit", "seq", "kind", "session_id", "body"])
 
-    return found.select(unit("path").alias("unit"), "path", "content").groupBy("unit").applyInPandas(run, RECORDS)
+    # units are dealt out by path and source alone; contents follow once
+    return found.select(F.explode(owners("path")).alias("o"), "path", "content").select("o.source", "o.unit", "path", "content").groupBy("source", "unit").applyInPandas(run, RECORDS)
 
 
 def tables_of(found: DataFrame) -> dict[str, DataFrame]:
@@ -104,17 +110,14 @@ def ingest(spark: SparkSession, root: str, names: Iterable[str] | None = None, s
     """The records by kind of the given sources below root; with a state, only units whose files changed."""
     import tracelake.sources  # noqa: F401  registers all sources
 
-    parts, marks = [], []
-    for name in names or sorted(REGISTRY):
-        found = files(spark, root, REGISTRY[name])
-        if state is not None:
-            found = changed_files(found, state)
-        parts.append(records(found, REGISTRY[name]))
-        marks.append(cursors(found))
-    every, mark = parts[0], marks[0]
-    for p, m in zip(parts[1:], marks[1:], strict=True):
-        every, mark = every.unionByName(p), mark.unionByName(m)
-    return {**tables_of(every), "cursors": mark}
+    found = files(spark, root, *(REGISTRY[n] for n in names or sorted(REGISTRY)))
+    return parsed(found if state is None else changed_files(found, state), names)
+
+
+def parsed(found: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The records by kind of files (path, modified, size, content). They are parsed once and written; tables read them back."""
+    sources = [REGISTRY[n] for n in names or sorted(REGISTRY)]
+    return {**tables_of(written(records(found, *sources))), "cursors": cursors(found)}
 
 
 # ---- what parsers share ----

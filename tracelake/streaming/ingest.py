@@ -26,9 +26,7 @@ def stream_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataF
 
 def merge_files(store: merge.Store, found: DataFrame, batch: str) -> int:
     """Parses the files of all sources in found (path, modified, size, content) and publishes the merged tables."""
-    parts = [base.records(found.where(F.col("path").rlike(s.pattern)), s) for s in base.REGISTRY.values()]
-    records = base.tables_of(merge.union_all(parts))
-    return store.merge({**records, "cursors": base.cursors(found)}, batch)
+    return store.merge(base.parsed(found), batch)
 
 
 def ingest(spark: SparkSession, root: str, store: merge.Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
