@@ -181,9 +181,11 @@ def test_assembly():
 
 
 def test_titles_paths_and_scalars(spark):
-    texts = ["<system-reminder>a\nb</system-reminder>\n\n  real   title ", "..\nab\n<tag>\nuse me", "x" * 90, "!!", None]
+    texts = ["[agent x] <system-reminder>a\nb</system-reminder>\n\nWarm up\n  real   title ", "..\nab\n<tag>\nuse me", "x" * 90, "!!", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(finalize.title_of("t")).collect()]
-    assert got == ["real title", "use me", "x" * 79 + "…", None, None]
+    assert got == ["real   title", "use me", "x" * 79 + "…", None, None]
+    kinds = [("<command-name>/x</command-name>", 0), ("[Request interrupted by user]", 0), ("[Request interrupted by user] why", 0), ("Base directory for this skill: /x", 1), ("Base directory for this skill: /x", 0), ("x", 1), (None, 0)]
+    assert [r[0] for r in spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "i int, t string, m int").orderBy("i").select(scalars.harness_kind("t", "m")).collect()] == ["command", "interruption", None, "skill", None, "other", None]
     row = spark.range(1).select(
         scalars.canonical_timestamp(F.lit("2024-01-01T02:00:00+02:00")).alias("a"), scalars.canonical_timestamp(F.lit("2024-01-01T02:00")).alias("b"), scalars.canonical_timestamp(F.lit("junk")).alias("c"), scalars.canonical_timestamp(F.lit("")).alias("d"),
         scalars.folded_tokens(F.lit(None).cast("long"), F.lit(0)).alias("e"), scalars.folded_tokens(F.lit(None).cast("long")).alias("f"), scalars.shown_tokens(F.lit(1500)).alias("g"), scalars.shown_duration(F.lit(3_720_000)).alias("h"),

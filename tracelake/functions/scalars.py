@@ -36,9 +36,9 @@ def folded_tokens(*parts) -> Column:
 
 def text_of_blocks(blocks) -> Column:
     """The text and thinking blocks of array<struct<type, text, thinking>>, one per line; null without any."""
-    kept = F.filter(as_column(blocks), lambda b: b["type"].isin("text", "thinking"))
-    parts = F.transform(kept, lambda b: F.coalesce(F.when(b["type"] == "thinking", b["thinking"]).otherwise(b["text"]), F.lit("")))
-    return F.when(F.size(kept) > 0, F.array_join(parts, "\n"))
+    said = F.transform(as_column(blocks), lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", b["thinking"]))
+    parts = F.filter(said, lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
 
 
 def content_type_of_blocks(blocks) -> Column:
@@ -49,16 +49,25 @@ def content_type_of_blocks(blocks) -> Column:
 
 
 def file_path_of(name, input_json) -> Column:
-    return F.when(as_column(name).isin(*FILE_TOOLS), F.coalesce(F.get_json_object(as_column(input_json), "$.file_path"), F.get_json_object(as_column(input_json), "$.notebook_path")))
+    return F.when(as_column(name).isin(*FILE_TOOLS), F.get_json_object(as_column(input_json), "$.file_path"))
 
 
-def harness_kind(text, is_meta, flags: dict[str, Column] | None = None) -> Column:
-    """What kind of harness row a message is: by flags, then by how its text begins; null for ordinary rows."""
-    c, flags = F.trim(as_column(text)), flags or {}
-    out = F.when(flags.get("compact", F.lit(False)), "compaction")
-    out = out.when(c.rlike(r"^\[Request interrupted"), "interruption").when(c.rlike(r"^<(command-name|command-message|local-command-stdout)"), "command")
-    out = out.when(c.rlike(r"^<system-reminder"), "reminder").when(c.rlike(r"^<(task-notification|agent-notification)"), "notification").when(c.rlike(r"^Base directory for this skill"), "skill")
-    return out.when(F.coalesce(as_column(is_meta), F.lit(0)) == 1, "other")
+#: How the rows that a harness writes under the user's role begin.
+INTERRUPTION = r"^\s*\[Request interrupted by user(?: for tool use)?\]\s*$"
+COMMAND = r"^\s*(?:<command-name>[^<]+</command-name>|<local-command(?:\b|-))"
+REMINDER = r"^\s*<system-reminder\b"
+NOTIFICATION = r"^\s*<task-notification\b"
+SKILL = r"^\s*Base directory for this skill(?:\s*:|\s*\r?\n)"
+
+
+def harness_kind(text, is_meta, compacted: Column | None = None, interrupted: Column | None = None) -> Column:
+    """What kind of harness row a message is: by its flags, then by how its text begins; null for ordinary rows."""
+    c = as_column(text)
+    out = F.when(F.coalesce(compacted, F.lit(False)) if compacted is not None else F.lit(False), "compaction")
+    out = out.when((F.coalesce(interrupted, F.lit(False)) if interrupted is not None else F.lit(False)) | c.rlike(INTERRUPTION), "interruption")
+    out = out.when(c.rlike(COMMAND), "command").when(c.rlike(REMINDER), "reminder").when(c.rlike(NOTIFICATION), "notification")
+    meta = F.coalesce(as_column(is_meta), F.lit(0)) == 1
+    return out.when(meta & c.rlike(SKILL), "skill").when(meta, "other")
 
 
 def scoped_id(prefix: str, *parts) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tracelake.functions import predicates as p
 
 TITLE_CHARS = 80
-#: Wrapper blocks that a title leaves out.
-WRAPPERS = ("command-message", "command-name", "command-args", "local-command-stdout", "system-reminder", "environment_context", "user_instructions")
+#: Blocks that a title leaves out.
+WRAPPERS = ("system-reminder", "user_info", "command-name", "command-message", "command-args", "local-command-stdout", "local-command-stderr")
+#: What may stand before a title, and a line that isn't one.
+AGENT_PREFIX = r"^\[[^\]]{1,40}\]\s*"
+WARMUP = r"(?i)^warm ?up$"
 
 
 def observed_paths(messages: DataFrame) -> DataFrame:
@@ -22,13 +25,13 @@ def observed_paths(messages: DataFrame) -> DataFrame:
 def path_from_slug(project) -> Column:
     """-a-b -> /a/b"""
     c = p.as_column(project)
-    return F.when(F.startswith(c, F.lit("-")), F.regexp_replace(c, "-", "/"))
+    return F.when(c != "", F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(c, "^-", ""), "-", "/")))
 
 
 def slug_from_path(path) -> Column:
-    """/a/b -> -a-b"""
+    """/a/b -> -a-b, for absolute paths"""
     c = p.as_column(path)
-    return F.when(F.startswith(c, F.lit("/")), F.regexp_replace(c, r"[^A-Za-z0-9]", "-"))
+    return F.when(F.startswith(c, F.lit("/")), F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace(c, "^/+|/+$", ""), "/+", "-")))
 
 
 def refreshed_paths(sessions: DataFrame, messages: DataFrame, only_unresolved: bool = False) -> DataFrame:
@@ -40,22 +43,29 @@ def refreshed_paths(sessions: DataFrame, messages: DataFrame, only_unresolved: b
 
 
 def title_of(text) -> Column:
-    """The first usable line of a message: wrappers and markup cut, three characters with a letter or digit, 80 at most."""
-    c = F.regexp_replace(p.as_column(text), r"^\s*\[[^\]\n]*\]\s*", "")
+    """The first usable line of a message without its wrappers: three characters, one of them a letter or digit; 80 at most."""
+    edge = r"^\s+|\s+$"
+    c = F.regexp_replace(F.regexp_replace(p.as_column(text), edge, ""), AGENT_PREFIX, "")
     for tag in WRAPPERS:
-        c = F.regexp_replace(c, rf"(?s)<{tag}>.*?</{tag}>", "")
-    lines = F.transform(F.split(c, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    usable = F.filter(lines, lambda x: (F.char_length(x) >= 3) & x.rlike(r"[\p{L}\p{N}]") & ~F.startswith(x, F.lit("<")))
+        c = F.regexp_replace(c, rf"(?is)<{tag}>.*?</{tag}>", " ")
+    lines = F.transform(F.split(c, r"\r?\n"), lambda x: F.regexp_replace(x, edge, ""))
+    usable = F.filter(lines, lambda x: (F.char_length(x) >= 3) & x.rlike(r"[\p{L}\p{N}]") & ~F.startswith(x, F.lit("<")) & ~x.rlike(WARMUP))
     line = F.get(usable, F.lit(0))
-    return F.when(F.char_length(line) > TITLE_CHARS, F.concat(F.substring(line, 1, TITLE_CHARS - 1), F.lit("…"))).otherwise(line)
+    return F.when(F.char_length(line) > TITLE_CHARS, F.concat(F.regexp_replace(F.substring(line, 1, TITLE_CHARS - 1), r"\s+$", ""), F.lit("…"))).otherwise(line)
 
 
 def opening_titles(messages: DataFrame, count: int = 5) -> DataFrame:
-    """(session_id, title): the first title that one of a session's first user messages gives."""
-    own = messages.where((F.col("role") == "user") & p.is_visible() & p.not_meta() & (F.col("content_type") == "text") & p.on_main_timeline() & (F.length(F.trim("text")) > 0))
-    k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_last("timestamp"), "ingest_seq"))
-    titled = own.withColumn("k", k).where(F.col("k") <= count).withColumn("title", title_of("text"))
-    return titled.groupBy("session_id").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("k"))).alias("title")).where("title is not null")
+    """(session_id, title): the first title that one of a session's first user messages gives.
+
+    The main timeline's messages come first; where they give none, any user message may.
+    """
+    own = messages.where((F.col("role") == "user") & p.is_visible() & p.not_meta() & (F.length(F.trim("text")) > 0))
+    order = (F.asc_nulls_last("timestamp"), "uuid")
+    rank_any = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
+    rank_main = F.row_number().over(Window.partitionBy("session_id", F.col("agent_id").isNull()).orderBy(*order))
+    k = F.when(F.col("agent_id").isNull() & (F.col("main") <= count), F.col("main")).when(F.col("any") <= count, count + F.col("any"))
+    ranked = own.withColumn("any", rank_any).withColumn("main", rank_main).withColumn("k", k).where("k is not null").withColumn("title", title_of("text"))
+    return ranked.groupBy("session_id").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("k"))).alias("title")).where("title is not null")
 
 
 def backfilled_titles(sessions: DataFrame, messages: DataFrame) -> DataFrame:

@@ -96,9 +96,11 @@ def m22(t):
     return merge.patched(old, merge.diff(old, new, "uuid"), "uuid")
 
 
-@query("M15_W3_F11_titles", """, o AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS LAST, ingest_seq) AS k FROM messages WHERE role = 'user' AND coalesce(visibility, 'visible') = 'visible' AND coalesce(is_meta, 0) = 0 AND content_type = 'text' AND (agent_id IS NULL OR agent_id = session_id) AND trim(text) <> ''),
-    l AS (SELECT session_id, k, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 3 AND regexp_matches(x, '[\\p{L}\\p{N}]') AND NOT starts_with(x, '<'))[1] AS line FROM o WHERE k <= 5)
-    SELECT session_id, CASE WHEN length(t) > 80 THEN t[1:79] || '…' ELSE t END AS title FROM (SELECT session_id, arg_min(line, k) AS t FROM l WHERE line IS NOT NULL GROUP BY 1)""", ("messages",))
+@query("M15_W3_F11_titles", """, o AS (SELECT session_id, text, agent_id, row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS LAST, uuid) AS a, row_number() OVER (PARTITION BY session_id, agent_id IS NULL ORDER BY timestamp NULLS LAST, uuid) AS m
+      FROM messages WHERE role = 'user' AND coalesce(visibility, 'visible') = 'visible' AND coalesce(is_meta, 0) = 0 AND trim(text) <> ''),
+    l AS (SELECT session_id, CASE WHEN agent_id IS NULL AND m <= 5 THEN m WHEN a <= 5 THEN 5 + a END AS k,
+      list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: length(x) >= 3 AND regexp_matches(x, '[\\p{L}\\p{N}]') AND NOT starts_with(x, '<') AND NOT regexp_matches(x, '(?i)^warm ?up$'))[1] AS line FROM o)
+    SELECT session_id, CASE WHEN length(t) > 80 THEN rtrim(t[1:79]) || '…' ELSE t END AS title FROM (SELECT session_id, arg_min(line, k) AS t FROM l WHERE line IS NOT NULL AND k IS NOT NULL GROUP BY 1)""", ("messages",))
 def m15(t):
     return finalize.opening_titles(t.messages)
 

@@ -229,7 +229,7 @@ def total(*parts) -> int | None:
 
 def file_of(name: str | None, value) -> str | None:
     if name in ("Read", "Edit", "Write", "NotebookEdit") and isinstance(value, dict):
-        return value.get("file_path") or value.get("notebook_path")
+        return value.get("file_path") or None
     return None
 
 
