@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, language_id, line_dedup, merkle, ngram_join, privacy, quality, token_counts
+from . import bpe, chat, decontamination, language_id, line_dedup, merkle, ngram_join, oracles, privacy, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": token_counts.ORACLE, "op5_fingerprints": merkle.ORACLE}
+    return {"op3_token_counts": token_counts.ORACLE, "op5_fingerprints": merkle.ORACLE, **oracles.ORACLES}
