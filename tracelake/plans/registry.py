@@ -11,7 +11,7 @@ from tracelake.plans import adapters
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("relational", "search_queries", "trees", "maintenance", "assembly_queries", "stream_queries")
+_MODULES = ("relational", "search_queries", "trees", "maintenance", "assembly_queries", "stream_queries", "more")
 
 
 def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
