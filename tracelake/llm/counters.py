@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import partitions
+from .shared import bound_batches, partitions
 
 BLOCK = 2048
 
@@ -21,6 +21,8 @@ def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch], dict[str,
     table is.
     """
 
+    bound_batches(rows.sparkSession)
+
     def partial(batches):
         totals: dict[str, np.ndarray] = {}
         count(batches, totals)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import stored
+from .shared import bound_batches, stored
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -185,6 +185,7 @@ class Segment:
 
 
 def _ready(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str, item_id: str, item_text: str):
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     blocks = [Phrases(*b, window) for b in _blocks(items, item_id, item_text)]
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.terms for b in blocks)]))

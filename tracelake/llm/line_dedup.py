@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import BROADCAST_ROWS, if_small, partitions, stored
+from .shared import BROADCAST_ROWS, bound_batches, if_small, partitions, stored
 from .signing import ROWS, chunk_number, packed_rows, told_rows
 
 EDITS = 2
@@ -269,6 +269,7 @@ def _near_earlier(open_groups: DataFrame, edits: int, parts: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, rk, lines): the numbers of the lines to drop, for each document that loses any; rk tells the documents of one doc_id apart."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = partitions(spark)
     least = max(least, edits + 1)
     own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(doc_id, text).alias("rk"), F.col(text).alias("t"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import components, if_small, partitions, stored
+from .shared import bound_batches, components, if_small, partitions, stored
 from .signing import chunk_number, packed_rows, told_rows
 
 WORDS = 5
@@ -226,6 +226,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     doc_id, a row without links has a null component_id. Extra columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = partitions(spark)
     buckets = 8 * parts
     p, q = threshold

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted and has no more rows than this.
 BROADCAST_ROWS = 500_000
+BATCH_BYTES = 8 << 20
 _written: list[tuple] = []
 
 
@@ -50,6 +51,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES: a batch is in memory several times over, in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).lower().rstrip("b")
+    if not size.isdigit() or int(size) <= 0 or int(size) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
