@@ -304,7 +304,7 @@ def _joined(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the long lines that stay in a document that lost any, null in others."""
+    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the non-blank lines that stay in a document that lost any, null in others."""
     drops = stored(dropped_lines(docs, edits, least, doc_id, text))
     joined = _joined(docs, drops, doc_id, text)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_left")]
@@ -326,7 +326,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, do
                     drop = set(gone)
                     kept = [x for i, x in enumerate(whole.split("\n")) if i not in drop]
                     texts.append("\n".join(kept))
-                    dropped[r], left[r] = len(drop), sum(len(x) >= least for x in kept)
+                    dropped[r], left[r] = len(drop), sum(bool(x.strip()) for x in kept)
                 fresh = pc.replace_with_mask(part.column(place), lost, pa.array(texts, part.column(place).type))
                 arrays = [fresh if i == place else part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(dropped), pa.array(left, pa.int64())], schema.names)
