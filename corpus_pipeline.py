@@ -37,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat an earlier one; a document of which no non-blank line is left goes."""
-    kept = line_dedup.deduplicated(docs).where("n_dropped = 0 or n_left > 0")
+    kept = line_dedup.deduplicated(docs, exact_short=True).where("n_dropped = 0 or n_left > 0")
     columns = [F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return kept.select(*columns)
 

@@ -2,7 +2,8 @@
 
 A line of at least MIN_CHARS code points is dropped if it repeats an earlier line of the
 corpus with at most EDITS edits (insertions, deletions, substitutions of code points);
-earlier means a smaller (doc_id, row, line number). Shorter lines stay.
+earlier means a smaller (doc_id, row, line number). Shorter lines stay, unless exact_short
+asks for those that equal an earlier line to be dropped; blank ones always stay.
 
 A line is cut into EDITS + 1 segments of nearly equal length: EDITS edits leave one of them
 whole, at nearly its old place. Each line indexes its segments under (its length, the
@@ -124,8 +125,11 @@ def signatures(hasher: tk.SpanHasher, start: np.ndarray, length: np.ndarray, edi
     return np.concatenate(out), np.concatenate(lines)
 
 
-def _lines(column: pa.Array, least: int):
-    """(code points, start, length, row, number) of the lines that are long enough, numbered from 0 in their row."""
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def _lines(column: pa.Array, least: int, short: bool = False):
+    """(code points, start, length, row, number) of the lines that are long enough, numbered from 0 in their row; with short, also of the non-blank shorter ones."""
     cells, offsets = tk.codepoints(column)
     rows = len(offsets) - 1
     breaks = np.flatnonzero(cells == 10)
@@ -139,6 +143,9 @@ def _lines(column: pa.Array, least: int):
     end = np.where(is_last, offsets[row + 1], np.append(start[1:], len(cells)) - 1)
     length = end - start
     keep = length >= least
+    if short:
+        solid = np.append(0, np.cumsum(~_SPACE[np.minimum(cells, len(_SPACE) - 1)]))
+        keep |= solid[end] > solid[start]
     return cells, start[keep], length[keep], row[keep], number[keep]
 
 
@@ -160,7 +167,7 @@ def _strings(column: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.Arra
     return pieces.take(pa.array(np.arange(0, len(cuts), 2))).cast(pa.string())
 
 
-def _signed(docs: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:
+def _signed(docs: DataFrame, edits: int, least: int, buckets: int, exact_short: bool) -> DataFrame:
     member = T.StructType([T.StructField("d", docs.schema["d"].dataType), T.StructField("rk", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("key", T.BinaryType())])
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("members", T.ArrayType(member))])
     names = [f.name for f in member]
@@ -169,7 +176,7 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:
         sequence = 0
         for batch in batches:
             for part in tk.chunks(batch, "t"):
-                cells, start, length, row, number = _lines(part.column(2), least)
+                cells, start, length, row, number = _lines(part.column(2), least, exact_short)
                 hasher = tk.SpanHasher.of_codepoints(cells)
                 keys = _keys(hasher, start, length)
                 for i in range(0, len(start), ROWS):
@@ -179,7 +186,11 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:
                     kind = pa.schema([pa.field("bucket", pa.int32()), pa.field("chunk", pa.int64()), pa.field("words", pa.binary()), pa.field("members", pa.list_(told.type))])
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
                     # equal lines of the chunk sign once
-                    _, first = np.unique(keys[s][:, 0], return_index=True)
+                    long = np.flatnonzero(length[s] >= least)
+                    _, first = np.unique(keys[s][long, 0], return_index=True)
+                    if not len(first):
+                        continue
+                    first = long[first]
                     signature, line = signatures(hasher, start[s][first], length[s][first], edits)
                     rows = list(packed_rows(signature, first[line], buckets))
                     n = len(rows)
@@ -266,14 +277,14 @@ def _near_earlier(open_groups: DataFrame, edits: int, parts: int) -> DataFrame:
     return spread.select("gid", "i", "j", "key", "length", "line", "late", "own").mapInArrow(check, "b binary").distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", exact_short: bool = False) -> DataFrame:
     """(d, rk, lines): the numbers of the lines to drop, for each document that loses any; rk tells the documents of one doc_id apart."""
     spark = docs.sparkSession
     bound_batches(spark)
     parts = partitions(spark)
     least = max(least, edits + 1)
     own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(doc_id, text).alias("rk"), F.col(text).alias("t"))
-    told = stored(told_rows(_signed(own, edits, least, 8 * parts), parts))
+    told = stored(told_rows(_signed(own, edits, least, 8 * parts, exact_short), parts))
     lines = told.where("kind = 0").select("chunk", "row", "key", "length", F.struct("d", "rk", "no").alias("pos"))
     groups = told.where("kind = 1").select("gid", "chunk", "row").distinct()
     classes = lines.groupBy("key").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.first("length").alias("length"))
@@ -303,9 +314,9 @@ def _joined(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFr
     return docs.join(names, docs[doc_id].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[doc_id], docs[text]) == F.col("__rk")), "left").drop("__d", "__rk")
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", exact_short: bool = False) -> DataFrame:
     """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the non-blank lines that stay in a document that lost any, null in others."""
-    drops = stored(dropped_lines(docs, edits, least, doc_id, text))
+    drops = stored(dropped_lines(docs, edits, least, doc_id, text, exact_short))
     joined = _joined(docs, drops, doc_id, text)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_left")]
     place = columns.index(text)
@@ -334,9 +345,9 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, do
     return joined.select(*columns, "__lines").mapInArrow(rewrite, schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, exact_short: bool = False) -> DataFrame:
     """op6: (doc_id, n_lines, n_dropped, text_sha256) of each row."""
-    found = deduplicated(docs.select("doc_id", "text"))
+    found = deduplicated(docs.select("doc_id", "text"), exact_short=exact_short)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

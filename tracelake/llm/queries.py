@@ -34,7 +34,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+    return line_dedup.digests(_table(spark, sf_dir, "documents"), exact_short=True)
 
 
 def op7_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
