@@ -150,6 +150,12 @@ def f20(t):
     return t.raw("documents").select("doc_id", scalars.highlighted(F.substring("text", 1, 200), "the").alias("shown"))
 
 
+@query("F20_highlight_whole", "SELECT doc_id, regexp_replace(text, '(?i)(the)', '<mark>\\1</mark>', 'g') AS shown FROM documents")
+def f20_whole(t):
+    """Whole texts; F20_highlight has to match SQL over their first 200 characters."""
+    return t.raw("documents").select("doc_id", scalars.highlighted("text", "the").alias("shown"))
+
+
 @query("F22_project_labels", "SELECT id, list_filter(string_split(project_path, '/'), lambda x: x <> '')[-1] AS label FROM sessions", ("sessions",))
 def f22(t):
     from tracelake.functions import predicates as p
