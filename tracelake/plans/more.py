@@ -133,6 +133,16 @@ def f21(t):
     return rows.select("event_id", scalars.shown_tokens("event_id").alias("tokens"), scalars.shown_duration(F.col("event_id") * 1000 + 60000).alias("took"))
 
 
+_N, _MS = "(event_id * 4001)", "(event_id * 7919)"
+
+
+@query("F21_display_all", f"""SELECT event_id, CASE WHEN {_N} >= 1000000 THEN concat(format('{{:.1f}}', floor(({_N} + 50000) / 100000) / 10), 'M') WHEN {_N} >= 1000 THEN concat(format('{{:.1f}}', floor(({_N} + 50) / 100) / 10), 'k') ELSE cast({_N} AS VARCHAR) END AS tokens,
+    CASE WHEN {_MS} >= 3600000 THEN format('{{:d}}h {{:d}}m', {_MS} // 3600000, ({_MS} // 60000) % 60) WHEN {_MS} >= 60000 THEN format('{{:d}}m {{:d}}s', {_MS} // 60000, ({_MS} // 1000) % 60) ELSE concat(format('{{:.1f}}', floor(({_MS} + 50) / 100) / 10), 's') END AS took FROM events""")
+def f21_all(t):
+    """Every event, spread over all branches; F21_display has to match SQL over 3,000 of them."""
+    return t.raw("events").select("event_id", scalars.shown_tokens(F.col("event_id") * 4001).alias("tokens"), scalars.shown_duration(F.col("event_id") * 7919).alias("took"))
+
+
 @query("M9_cursor_state", "SELECT jsonl_path, cast(ingest_seq AS DOUBLE) AS mtime, message_count AS lines_processed, 0 AS replay_required, concat(ingest_seq, ':', message_count) AS cursor FROM sessions", ("sessions",))
 def m9(t):
     rows = t.sessions.select("jsonl_path", F.col("ingest_seq").cast("double").alias("mtime"), F.col("message_count").alias("lines_processed"), F.lit(0).alias("replay_required"), F.concat_ws(":", "ingest_seq", "message_count").alias("cursor"), F.col("ingest_seq").alias("seq"))
