@@ -166,9 +166,8 @@ class Segment:
                 if len(found):
                     yield w, found
 
-    def near(self, numbers: np.ndarray, order: np.ndarray, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most `slop` words away, in the same document."""
-        begin, end = self.lists(terms)
+    def near(self, numbers: np.ndarray, order: np.ndarray, begin: np.ndarray, end: np.ndarray, slop: int) -> np.ndarray:
+        """Positions of the rarest term with every other term at most `slop` words away, in the same document; begin and end are those of the terms' lists."""
         found = self.positions[begin[numbers[order[0]]] : end[numbers[order[0]]]]
         for i in order[1:]:
             here = self.positions[begin[numbers[i]] : end[numbers[i]]]
@@ -241,28 +240,72 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id:
     return index.mapInArrow(search, schema)
 
 
-def proximity_hits(docs: DataFrame, items: DataFrame, slop: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, position): words that are an item's rarest term and have each other term of the item at most `slop` words away."""
-    index, blocks = _ready(docs, items, 1 << 12, doc_id, text, item_id, item_text)
+def proximity_hits(docs: DataFrame, items: DataFrame, slop: int = 20, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, position): words that are the rarest term of a window of the item and have each other term of the window at most `slop` words away."""
+    index, blocks = _ready(docs, items, window, doc_id, text, item_id, item_text)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType())])
 
     def search(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = batch.column(0).slice(k, 1).flatten()
-                segment = Segment(*(batch.column(i)[k].as_py() for i in range(1, 5)))
-                for shared in blocks:
-                    block = shared.value
-                    for w, i in zip(block.group.tolist(), block.item.tolist(), strict=True):
-                        live = int((block.rows[w] >= 0).sum())
-                        found = segment.near(block.rows[w], block.order[w][:live], block.terms, slop)
-                        if len(found):
-                            doc = segment.document(found)
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array([block.ids[i]] * len(found)), pa.array(found - segment.first[doc], pa.int64())], ["doc_id", "item_id", "position"])
+                ids, segment = _segment(batch, k)
+                for item, found in _near_items(segment, blocks, slop):
+                    doc = segment.document(found)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array([item] * len(found)), pa.array(found - segment.first[doc], pa.int64())], ["doc_id", "item_id", "position"])
 
     return index.mapInArrow(search, schema)
 
 
+def proximity_digests(docs: DataFrame, items: DataFrame, slop: int = 20, window: int = WINDOW) -> DataFrame:
+    """op10's proximity half: (doc_id, n_near, n_near_items, near_items_sha256) of each row: positions of hits, and the items that they are of."""
+    index, blocks = _ready(docs, items, window, "doc_id", "text", "item_id", "text")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_near", T.LongType()), T.StructField("near", T.ArrayType(T.StringType()))])
+
+    def search(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, segment = _segment(batch, k)
+                hit = np.zeros(int(segment.first[-1]) + 1, bool)
+                names: dict[int, set] = {}
+                for item, found in _near_items(segment, blocks, slop):
+                    hit[found] = True
+                    for d in np.unique(segment.document(found)).tolist():
+                        names.setdefault(d, set()).add(item)
+                n = np.diff(tk.starts_of(hit[:-1].astype(np.int64))[segment.first])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array([sorted(names.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))], ["doc_id", "n_near", "near"])
+
+    found = index.mapInArrow(search, schema)
+    return found.select("doc_id", "n_near", F.size("near").cast("long").alias("n_near_items"), F.sha2(F.array_join("near", ","), 256).alias("near_items_sha256"))
+
+
+def _segment(batch: pa.RecordBatch, k: int) -> tuple[pa.Array, Segment]:
+    return batch.column(0).slice(k, 1).flatten(), Segment(*(batch.column(i)[k].as_py() for i in range(1, 5)))
+
+
+def _near_items(segment: Segment, blocks: list, slop: int) -> Iterator[tuple[str, np.ndarray]]:
+    """(item id, positions of its windows' hits, each once)."""
+    for shared in blocks:
+        block = shared.value
+        if not len(block.rows):
+            continue
+        begin, end = segment.lists(block.terms)
+        held = np.append(end > begin, True)  # the last cell answers for -1
+        found = {}
+        for w in np.flatnonzero(held[block.rows].all(axis=1)).tolist():
+            live = int((block.rows[w] >= 0).sum())
+            here = segment.near(block.rows[w], block.order[w][:live], begin, end, slop)
+            if len(here):
+                found[w] = here
+        if not found:
+            continue
+        own: dict[int, list[np.ndarray]] = {}
+        for w, i in zip(block.group.tolist(), block.item.tolist(), strict=True):
+            if w in found:
+                own.setdefault(i, []).append(found[w])
+        for i, parts in own.items():
+            yield block.ids[i], np.unique(np.concatenate(parts))
+
+
 def digest(hits: DataFrame) -> DataFrame:
     """The columns of op10 from the operator's rows."""
     lengths = F.aggregate(F.transform("spans", lambda s: s["stop"] - s["start"]), F.lit(0).cast("long"), lambda a, b: a + b)
