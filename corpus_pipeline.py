@@ -59,8 +59,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
-    return bpe.digests(docs)
+    """(doc_id, ids, ends, n_tokens, ids_sha256, decoded_sha256) of each document."""
+    return bpe.encoded(docs)
 
 
 STAGES = [

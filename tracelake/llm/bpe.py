@@ -266,8 +266,18 @@ def decode(encoded: DataFrame, path: str | None = None, doc_id: str = "doc_id",
 
 def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, encoded and decoded in one pass so that no ids leave the worker."""
+    return _told(docs, path, doc_id, text, False)
+
+
+def encoded(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, ends, n_tokens, ids_sha256, decoded_sha256) of each row: encode's columns and those of digests, in one pass."""
+    return _told(docs, path, doc_id, text, True)
+
+
+def _told(docs: DataFrame, path: str | None, doc_id: str, text: str, with_ids: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    lists = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "ends")] if with_ids else []
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *lists, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
         v = vocabulary(path or default_path())
@@ -280,6 +290,11 @@ def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", te
                 of_ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 cut = at[first].tolist()
                 of_text = [hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept = []
+                if with_ids:
+                    ends = at[1:] - np.repeat(at[first[:-1]], counts)
+                    offsets = pa.array(first, pa.int32())
+                    kept = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *kept, pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], schema.names)
 
     return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(run, schema)
