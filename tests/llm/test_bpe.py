@@ -42,6 +42,13 @@ def test_random_texts_like_the_library(reference):
     assert ids_of(texts) == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_information_separators_are_no_white_space(reference):
+    assert ids_of(["\x1e're", "a\x1f's", "\x1c \x1d"]) == [reference.encode_ordinary(t) for t in ("\x1e're", "a\x1f's", "\x1c \x1d")]
+    random.seed(9)
+    texts = ["".join(random.choice(["\x1c", "\x1d", "\x1e", "\x1f", "'", "s", "re", "'ve", " ", "\n", "a", "\x85", "1"]) for _ in range(random.randrange(14))) for _ in range(8000)]
+    assert ids_of(texts) == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_documents_round_trip(spark, sf, reference):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.union(spark.createDataFrame([(9001, None, "x"), (9001, "", "x"), (None, "a b", None), (9002, "long " * 40000, "")], docs.schema))

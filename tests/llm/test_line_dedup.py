@@ -33,7 +33,7 @@ def test_lines_within_reach_share_a_key(line, edits, rng):
     if len(other) < 3 or brute.distance(line, other) > 2:
         return
     cells, start, length, _, _ = ld._lines(pa.array([line, other]), 3)
-    signature, of = ld.signatures(tk.SpanHasher.of_codepoints(cells), start, length, 2)
+    signature, of = ld.signatures(*ld._bytes(pa.array([line, other])), start, length, 2)
     assert set(signature[of == 0].tolist()) & set(signature[of == 1].tolist())
 
 

@@ -14,8 +14,9 @@ run end known, a token boundary depends on a few neighbours only:
 - a lone apostrophe without a space before it and one of the contraction endings after it
   form a token, and the rest of the letter run begins another.
 
-Equal slices are merged once: slices of a chunk are grouped by a 128-bit hash, each group's
-bytes are looked up in a bounded cache or merged by rank. The slices' offsets, the ids and
+Equal slices are merged once: slices of a chunk are grouped by a hash and compared with
+their group's first slice, each group's bytes are looked up in a bounded cache or merged by
+rank. The slices' offsets, the ids and
 the ids' byte lengths are kept, so decoding is one gather from the vocabulary's bytes, and
 every token has its span in the text.
 """
@@ -38,7 +39,7 @@ from .shared import bound_batches
 OTHER, LETTER, NUMBER, SPACE = range(4)
 CACHE = 200_000
 #: White space of the pattern's \s
-_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _PLANES: dict[int, np.ndarray] = {}
 
 
@@ -184,6 +185,24 @@ def _merged_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+def _grouped(hasher: tk.SpanHasher, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first slice of each group of equal ones, and each slice's group; every slice is compared with its group's first byte by byte."""
+    _, first, group = np.unique(hasher(start, end), return_index=True, return_inverse=True)
+    size, own = end - start, first[group]
+    odd = np.flatnonzero((size != size[own]) | ~hasher.equal(start, start[own], np.minimum(size, size[own])))
+    if len(odd):  # unequal slices of equal hash: groups of their own
+        names: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            piece = hasher.data[start[i] : end[i]].tobytes()
+            if piece not in names:
+                names[piece] = len(first) + len(extra)
+                extra.append(i)
+            group[i] = names[piece]
+        first = np.append(first, extra)
+    return first, group
+
+
 def encode_column(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text end to end, and each text's number of ids."""
     data, offsets = tk.utf8(column)
@@ -193,15 +212,7 @@ def encode_column(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray,
     byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     start = byte_of[boundaries(cells, cell_offsets)]
     end = np.append(start[1:], len(data))
-    hasher = tk.SpanHasher.of_bytes(data)
-    one, two = hasher(start, end, 1), hasher(start, end, 2)
-    key = np.empty(len(start), [("a", np.uint64), ("b", np.uint64)])
-    key["a"], key["b"] = one, two
-    order = np.argsort(one)
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    group = np.empty(len(start), np.int64)
-    group[order] = np.cumsum(np.append(True, ~same)) - 1
-    first = order[np.append(True, ~same)]
+    first, group = _grouped(tk.SpanHasher(data), start, end)
     raw = data.tobytes()
     merged = [vocabulary.merge(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
     size = np.array([len(m) for m in merged]) // 4

@@ -102,14 +102,14 @@ def _segments(length: np.ndarray, edits: int, number: int) -> tuple[np.ndarray,
     return start, small + (number >= n - longer)
 
 
-def signatures(hasher: tk.SpanHasher, start: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, line): what each line indexes and probes."""
+def signatures(hasher: tk.SpanHasher, byte: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, line): what each line indexes and probes; byte: where each code point's bytes begin."""
     out, lines = [], []
     line = np.arange(len(start))
 
     def add(rows, at, size, indexed, number):
         tag = tk.seeded(indexed.astype(np.uint64) * tk.U64(16) + tk.U64(number), 81)
-        out.append(tk.mix64(hasher(start[rows] + at, start[rows] + at + size, 82) + tag))
+        out.append(tk.mix64(hasher(byte[start[rows] + at], byte[start[rows] + at + size], 82) + tag))
         lines.append(rows)
 
     for shorter in range(edits + 1):
@@ -149,12 +149,14 @@ def _lines(column: pa.Array, least: int, short: bool = False):
     return cells, start[keep], length[keep], row[keep], number[keep]
 
 
-def _keys(hasher: tk.SpanHasher, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.stack([hasher(start, start + length, s) for s in (91, 92)], axis=1).astype(">u8")
+def _bytes(column: pa.Array) -> tuple[tk.SpanHasher, np.ndarray]:
+    """A hasher of the column's bytes, and where each code point's bytes begin."""
+    data, _ = tk.utf8(column)
+    return tk.SpanHasher(data), np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
-    """The rows of a key table as binaries, without a loop."""
+    """The rows of a table of 16 bytes each as binaries, without a loop."""
     return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
 
@@ -177,8 +179,8 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int, exact_short:
         for batch in batches:
             for part in tk.chunks(batch, "t"):
                 cells, start, length, row, number = _lines(part.column(2), least, exact_short)
-                hasher = tk.SpanHasher.of_codepoints(cells)
-                keys = _keys(hasher, start, length)
+                hasher, byte = _bytes(part.column(2))
+                keys = hasher.digests(byte[start], byte[start + length])
                 for i in range(0, len(start), ROWS):
                     s = slice(i, i + ROWS)
                     chunk, sequence = chunk_number(sequence), sequence + 1
@@ -187,11 +189,11 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int, exact_short:
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)], schema=kind)
                     # equal lines of the chunk sign once
                     long = np.flatnonzero(length[s] >= least)
-                    _, first = np.unique(keys[s][long, 0], return_index=True)
+                    _, first = np.unique(keys[s][long].view("V16").ravel(), return_index=True)
                     if not len(first):
                         continue
                     first = long[first]
-                    signature, line = signatures(hasher, start[s][first], length[s][first], edits)
+                    signature, line = signatures(hasher, byte, start[s][first], length[s][first], edits)
                     rows = list(packed_rows(signature, first[line], buckets))
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * n, pa.int64()), tk.binary([w for _, w in rows]), pa.nulls(n, pa.list_(told.type))], schema=kind)
@@ -205,9 +207,9 @@ def _texts(docs: DataFrame, keys: DataFrame, least: int) -> DataFrame:
     def lines(batches):
         for batch in batches:
             for part in tk.chunks(batch, "t"):
-                cells, start, length, _, _ = _lines(part.column(0), least)
-                keys = _keys(tk.SpanHasher.of_codepoints(cells), start, length)
-                yield pa.RecordBatch.from_arrays([_binary(keys), _strings(part.column(0), start, length)], ["key", "line"])
+                _, start, length, _, _ = _lines(part.column(0), least)
+                hasher, byte = _bytes(part.column(0))
+                yield pa.RecordBatch.from_arrays([_binary(hasher.digests(byte[start], byte[start + length])), _strings(part.column(0), start, length)], ["key", "line"])
 
     found = docs.select("t").mapInArrow(lines, "key binary, line string")
     return found.join(if_small(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))

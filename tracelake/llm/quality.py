@@ -52,18 +52,18 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, counts = tk.runs(tk.NOT_SPACE[data], offsets)
     n = len(counts)
     row = tk.row_of(counts)
-    words = tk.SpanHasher.of_bytes(tk.lower_ascii(data))(starts, ends)
+    words = tk.SpanHasher(tk.lower_ascii(data))(starts, ends)
     shape = _SHAPE[data]
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
     keep[starts] = True
     at = np.append(0, np.cumsum(keep))
-    shapes = tk.SpanHasher.of_bytes(shape[keep])(at[starts], at[ends], 73)
+    shapes = tk.SpanHasher(shape[keep])(at[starts], at[ends], 73)
     again = np.zeros(len(words), bool)
     again[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     distinct = np.bincount(np.unique(np.stack([row.astype(np.uint64), words]), axis=1)[0].astype(np.int64), minlength=n) if len(words) < 64 else _distinct(row, words, n)
     line_starts, line_ends, line_counts = tk.runs(data != 10, offsets)
-    lines = _distinct(tk.row_of(line_counts), tk.SpanHasher.of_bytes(data)(line_starts, line_ends), n)
+    lines = _distinct(tk.row_of(line_counts), tk.SpanHasher(data)(line_starts, line_ends), n)
     total, total_lines = np.maximum(counts, 1), np.maximum(line_counts, 1)
     marks = np.stack([
         np.where(counts > 0, 1 + 10 * distinct // total, 0), 100 + 10 * np.bincount(row[again], minlength=n) // total,

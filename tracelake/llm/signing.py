@@ -1,7 +1,8 @@
 """Candidate search by signatures: packing, bucketing, and the groups of rows that share one.
 
 A signature travels as 48 bits of hash and 16 bits of row number in its chunk, in rows of
-one hash bucket and one chunk each. What a chunk tells of its rows travels beside them, so
+one hash bucket and one chunk each. The lowest bit of a signature is its family, which its
+group's gid keeps as its own lowest bit. What a chunk tells of its rows travels beside them, so
 that the texts are read once.
 """
 
@@ -23,11 +24,13 @@ ROWS = 1 << 16
 
 def packed_rows(signature: np.ndarray, row: np.ndarray, buckets: int):
     """(bucket, words): signatures by bucket; a word is 48 bits of signature and 16 of row."""
+    if not len(signature):
+        return
     bucket = (signature >> tk.U64(48)) * tk.U64(buckets) >> tk.U64(16)
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
     words = ((signature << tk.U64(16)) | row.astype(np.uint64))[order]
     bucket = bucket[order]
-    start = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ tk.U64(1))) if len(bucket) else np.zeros(0, np.int64)
+    start = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] ^ tk.U64(1)))
     for a, b in zip(start, np.append(start[1:], len(words)), strict=True):
         yield int(bucket[a]), words[a:b]
 
@@ -43,10 +46,11 @@ def shared_groups(chunk: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
     start = np.flatnonzero(np.diff(sig, prepend=sig[:1] ^ tk.U64(1))) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(sig)))
     many = np.repeat(size > 1, size)
+    family = sig[start][size > 1] & tk.U64(1)
     size = size[size > 1]
     chunk, row = chunk[many], row[many]
     member = tk.seeded(chunk.astype(np.uint64) * tk.U64(0x10001) + row.astype(np.uint64), 61)
-    gid = tk.mix64(tk.segment_sum(member, tk.starts_of(size)) + size.astype(np.uint64))
+    gid = tk.mix64(tk.segment_sum(member, tk.starts_of(size)) + size.astype(np.uint64)) & ~tk.U64(1) | family
     _, told, times = np.unique(gid, return_index=True, return_counts=True)
     each = np.zeros(len(gid), np.int32)
     each[told] = times

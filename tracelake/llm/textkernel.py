@@ -8,6 +8,7 @@ text, not the batch.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,7 @@ except (OSError, AttributeError):
 CHUNK_BYTES = 1_000_000
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
-_BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,26 +40,10 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix64(x + U64(seed * _ODD & _MASK))
 
 
-_BYTE_VALUE = seeded(np.arange(256, dtype=np.uint64), 7) | U64(1)
-_POINT_VALUE = seeded(np.arange(1 << 16, dtype=np.uint64), 7) | U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_Powers.up) < n:
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            setattr(_Powers, name, np.multiply.accumulate(steps))
-    return _Powers.up[:n], _Powers.down[:n]
-
-
 class _Worker:
     settled = False
 
@@ -136,29 +119,60 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+#: Spans of more bytes are hashed one by one with BLAKE2b.
+LONG = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [_MASK], np.uint64)
+
+
 class SpanHasher:
-    """Hashes of any spans of an array of cells, by differences of one running polynomial."""
+    """Hashes of spans of a byte array, eight bytes at a time.
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        up, self.down = _powers(n + 1)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=self.total[1:])
+    Each step mixes the next eight bytes into the state with a bijection of 64 bits, so
+    that spans of at most eight bytes and equal length never collide and longer ones do so
+    by chance only, with 2^-64 for a pair; spans beyond LONG bytes get a keyed BLAKE2b.
+    Hashes of different seeds are independent of each other.
+    """
 
-    @classmethod
-    def of_bytes(cls, data: np.ndarray) -> SpanHasher:
-        return cls(_BYTE_VALUE[data])
+    def __init__(self, data: np.ndarray):
+        self.data = np.zeros(len(data) + 8, np.uint8)
+        self.data[: len(data)] = data
+        self.cells = np.ndarray((len(data) + 1,), "<u8", self.data.data, strides=(1,))
 
-    @classmethod
-    def of_codepoints(cls, data: np.ndarray) -> SpanHasher:
-        values = _POINT_VALUE[np.minimum(data, 0xFFFF)]
-        high = np.flatnonzero(data > 0xFFFF)
-        values[high] = seeded(data[high].astype(np.uint64), 7) | U64(1)
-        return cls(values)
+    def _word(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return self.cells[at] & _TAIL[np.minimum(left, 8)]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-        h = (self.total[ends] - self.total[starts]) * self.down[starts]
-        return seeded(h + (ends - starts).astype(np.uint64) * U64(_ODD), seed)
+        starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+        h = seeded(size.astype(np.uint64), 2 * seed + 1)
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+        done = 0
+        while len(live):
+            h[live] = mix64(h[live] ^ self._word(starts[live] + done, size[live] - done))
+            done += 8
+            live = live[size[live] > done]
+        key = seed.to_bytes(8, "little")
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : starts[i] + size[i]], digest_size=8, key=key).digest(), "little")
+        return h
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """128 bits of BLAKE2b of each span, a row of 16 bytes each: for keys that stand for the bytes themselves."""
+        out = b"".join([hashlib.blake2b(self.data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return np.frombuffer(out, np.uint8).reshape(-1, 16)
+
+    def equal(self, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes at `starts` are those at `others`, byte by byte."""
+        same = np.ones(len(starts), bool)
+        live = np.flatnonzero((size > 0) & (size <= LONG) & (starts != others))
+        done = 0
+        while len(live):
+            left = size[live] - done
+            same[live] &= self._word(starts[live] + done, left) == self._word(others[live] + done, left)
+            done += 8
+            live = live[size[live] > done]
+        for i in np.flatnonzero((size > LONG) & (starts != others)).tolist():
+            same[i] = np.array_equal(self.data[starts[i] : starts[i] + size[i]], self.data[others[i] : others[i] + size[i]])
+        return same
 
 
 #: Bytes of a word [^\x20\x09-\x0D]+
@@ -174,7 +188,7 @@ def word_hashes(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.nd
     data, offsets = utf8(column)
     data = lower_ascii(data)
     starts, ends, counts = runs(inside[data], offsets)
-    return SpanHasher.of_bytes(data)(starts, ends), counts
+    return SpanHasher(data)(starts, ends), counts
 
 
 def codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
