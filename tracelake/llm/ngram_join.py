@@ -2,31 +2,37 @@
 
 A document's set holds the hashes of its distinct word shingles. Sizes are cut into bands
 l_0 < l_1 < ... of ratio RATIO; two sets with Jaccard similarity t or more, of which the
-smaller one has its size in band i, differ in at most k_i elements. The hash domain is
-partitioned into n_i ranges, more than k_i: since at most k_i ranges can hold a difference,
-a set with elements in more than k_i ranges has one non-empty range in which both sets
-agree entirely, so they share that range's signature (the enumeration of subsets of one
-partition each: the pigeonhole level of PartEnum, which has the fewest signatures for
-these k). A set that happens to fill at most k_i ranges also signs each single element, by
-which two such sets meet. A set signs for its own band and for each lower band whose sets
-can be similar to it.
-
-There are more ranges than k_i + 1, so a similar pair shares at least c = (filled ranges -
-k_i) signatures. Frequent passages give signatures that very many dissimilar sets share;
-each set leaves out its most frequent signatures, c - 1 at most, in one order for all sets:
-the rarest signature that a pair shares then stays with both, so no pair is lost.
+smaller one has its size in band i, differ in at most k elements, with k known from the
+sizes. For each band the hash domain is partitioned into n_i parts, and each part into RANGES
+second-level ranges. More than k / 2 parts that two sets both reach can't all hold two
+differences or more, so one of them holds at most one, which lies in one range: the sets agree on
+the part's other ranges. A set therefore signs, for each part, each subset of RANGES - 1 of its ranges
+(its elements in them, hashed together): the signature covers several elements, and dissimilar
+sets seldom agree on all of them. A part counts for this guarantee if the set has elements in two of its
+ranges at least, so that whichever range differs, what is left isn't empty. A set signs
+for its own band and for each lower band whose sets can be similar to it.
+
+A set with too few such parts (mostly small ones) also signs each single element; two sets
+of that kind meet there, as similar sets share t of their elements at least.
+
+Similar sets share more than one signature: c = (parts that count) - floor(k / 2), or t
+times their size of the single ones. Frequent passages give signatures that very many
+dissimilar sets share; each set leaves out its most frequent signatures, c - 1 at most, in
+one order for all sets: the rarest signature that a pair shares then stays with both, so no
+pair is lost.
 
 Signatures travel as packed words (48 bits of hash, 16 bits of row number in the chunk),
 grouped by hash bucket, so that a shuffled row holds hundreds of them. Documents with equal
 sets become one class before any comparison. Candidates are first linked as stars: each
-class with the smallest class of each signature they share; only classes that a star leaves
-in different components are compared with each other, so that a large group of near copies
-costs about as many comparisons as it has members. Before a candidate is verified on the
-sets, a histogram of 256 cells must allow it: the sum of the cells' differences is a lower
-bound of the number of differing elements.
+class with that smallest class of its groups with which it shares the most signatures. Only groups that
+this leaves in different components are looked at again: their classes' sets are brought together in
+bounded blocks, where every pair of different components is decided exactly, and what leaves a block is
+a spanning forest of its links, never its pairs. Before a star is verified, a histogram of 256
+cells must allow it: the sum of the cells' differences is a lower bound of the number of
+differing elements.
 
 Shingle hashes have 48 bits: two different shingles of one document, or of one pair, are
-taken for one with a probability of about size^2 / 2^49 (1e-9 for 600 shingles).
+taken for one with a probability of about size^2 / 2^49 (6e-10 for 600 shingles).
 """
 
 from __future__ import annotations
@@ -47,22 +53,32 @@ WORDS = 5
 #: Similarity as a fraction of whole numbers, compared without rounding.
 THRESHOLD = (75, 100)
 RATIO = 1.5
-FILL = 0.85
-#: Members of a signature's group that are compared as one block.
-BLOCK = 4096
+#: Second-level ranges of a part; a signature leaves out one of them.
+RANGES = 3
+#: Parts for each element of a band's smallest set.
+PARTS = 0.34
+#: Classes and elements that are compared as one block.
+BLOCK = 1024
+BLOCK_ELEMENTS = 500_000
 
 
-def bands(threshold: tuple[int, int], largest: int) -> tuple[list[int], list[int], list[int]]:
-    """Lower bounds of the bands, the most differences k of a pair whose smaller set is in the band, and the number of ranges."""
+def bands(threshold: tuple[int, int], largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of the bands, one more than there are bands, and each band's number of parts."""
     p, q = threshold
-    low, k, n = [1], [], []
+    low, parts = [1], []
     while low[-1] <= largest:
         low.append(max(low[-1] + 1, math.floor(low[-1] * RATIO)))
         x = low[-1] - 1  # the largest size of the band
-        y = x * q // p  # the largest partner
-        k.append(max(s - 2 * -(-p * s // (p + q)) for s in range(max(0, x + y - 2 * (p + q) // math.gcd(p, q)), x + y + 1)))
-        n.append(max(k[-1] + 1, math.ceil(FILL * low[-2])))
-    return low, k, n
+        k = int(_most(np.array([x + x * q // p]), threshold)[0])
+        parts.append(max(k // 2 + 1, math.ceil(PARTS * low[-2])))
+    return np.array(low, np.int64), np.array(parts, np.int64)
+
+
+def _most(total: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The most differing elements of a similar pair whose sizes add up to `total` or less."""
+    p, q = threshold
+    step = 2 * (p + q) // math.gcd(p, q)
+    return np.max([np.maximum(total - i, 0) - 2 * -(-p * np.maximum(total - i, 0) // (p + q)) for i in range(step)], axis=0)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,41 +99,63 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
 
 
 def signatures(elements: np.ndarray, counts: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row) of each row's set, and how many signatures a row shares at least with a similar row."""
+    """(signature, row) of each row's set, and how many signatures of ranges a row shares at least with a similar row, unless both sign single elements.
+
+    The lowest bit tells the signatures of single elements from those of ranges.
+    """
     least = np.full(len(counts), 1 << 30, np.int64)
+    if not len(elements):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(len(counts), np.int64)
     p, q = threshold
-    low, k, n = bands(threshold, int(counts.max(initial=0)))
-    low_a, k_a, n_a = (np.array(x, np.int64) for x in (low, k, n))
-    own = np.searchsorted(low_a, counts, side="right") - 1
+    low, parts = bands(threshold, int(counts.max()))
+    own = np.searchsorted(low, counts, side="right") - 1
     mixed = tk.seeded(elements, 31)
     first = tk.starts_of(counts)
+    poor = np.zeros(len(counts), bool)
     out_s, out_r = [], []
-    for back in range(max(1, min(len(k), 8))):
+    for back in range(len(parts)):
         band = own - back
-        # the largest partner of the band's largest size must reach this set
-        at = np.clip(band, 0, len(k) - 1)
-        fits = (counts > 0) & (band >= 0) & ((low_a[at + 1] - 1) * q // p >= counts) & (k_a[at] > 0)
-        rows = np.flatnonzero(fits)
+        at = np.clip(band, 0, len(parts) - 1)
+        # the band's largest size and what it makes of the most differences with a partner from it
+        top = low[at + 1] - 1
+        most = _most(counts + (counts * q // p if back == 0 else np.minimum(top, counts)), threshold)
+        rows = np.flatnonzero((counts > 0) & (band >= 0) & (top * q // p >= counts) & (most > 0))
         if not len(rows):
+            if back:
+                break
             continue
         size = counts[rows]
         row = np.repeat(rows, size)
         at = np.repeat(first[rows] - tk.starts_of(size)[:-1], size) + np.arange(size.sum())
         b = band[row]
-        part = ((elements[at] >> tk.U64(16)) * n_a[b].astype(np.uint64)) >> tk.U64(32)
-        key = row.astype(np.uint64) << tk.U64(40) | part
+        cell = ((elements[at] >> tk.U64(16)) * (RANGES * parts[b]).astype(np.uint64)) >> tk.U64(32)
+        key = row.astype(np.uint64) << tk.U64(40) | cell
         start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ tk.U64(1)))
         sums = tk.segment_sum(mixed[at], np.append(start, len(at)))
-        tag = b[start].astype(np.uint64) << tk.U64(40) | part[start]
-        out_s.append(tk.mix64(sums + tk.seeded(tag, 41)))
-        out_r.append(row[start])
-        filled = np.bincount(row[start], minlength=len(counts))
-        least[rows] = np.minimum(least[rows], filled[rows] - k_a[band[rows]])
-        poor = filled[row] <= k_a[b]
-        out_s.append(tk.mix64(mixed[at[poor]] + tk.seeded(b[poor].astype(np.uint64), 43)))
-        out_r.append(row[poor])
-    least = np.clip(least, 1, None)
-    return (np.concatenate(out_s), np.concatenate(out_r), least) if out_s else (np.zeros(0, np.uint64), np.zeros(0, np.int64), least)
+        # what each part of a row has in each of its ranges
+        row, b, cell = row[start], b[start], cell[start].astype(np.int64)
+        part, place = np.divmod(cell, RANGES)
+        group = np.cumsum(np.diff(row * (int(parts.max()) + 1) + part, prepend=-1) != 0) - 1
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        table = np.zeros((len(head), RANGES), np.uint64)
+        table[group, place] = sums
+        held = np.zeros((len(head), RANGES), bool)
+        held[group, place] = True
+        reached = held.sum(axis=1)
+        row, b, part = row[head], b[head], part[head]
+        whole = table.sum(axis=1, dtype=np.uint64)
+        for left_out in range(RANGES):
+            some = reached > held[:, left_out]
+            tag = (b[some].astype(np.uint64) << tk.U64(40) | part[some].astype(np.uint64)) * tk.U64(RANGES) + tk.U64(left_out)
+            out_s.append(tk.mix64(whole[some] - table[some, left_out] + tk.seeded(tag, 41)) & ~tk.U64(1))
+            out_r.append(row[some])
+        sure = np.bincount(row[reached > 1], minlength=len(counts))[rows] - most[rows] // 2
+        least[rows] = np.minimum(least[rows], sure)
+        poor[rows[sure < 1]] = True
+    alone = np.repeat(poor, counts)
+    out_s.append(tk.seeded(elements[alone], 43) | tk.U64(1))
+    out_r.append(np.repeat(np.arange(len(counts)), counts)[alone])
+    return np.concatenate(out_s), np.concatenate(out_r), np.clip(least, 1, None)
 
 
 def sketches(elements: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -237,21 +275,16 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     members = told.where("kind = 0").select("chunk", "row", "doc_id", "n", "key")
     classes = told.where("kind = 0 and key is not null").groupBy("key").agg(F.min("doc_id").alias("top"), F.first("n").alias("n"), F.min("least").alias("least"), F.first("sketch", True).alias("sketch"))
     classes = stored(classes)
-    grouped = stored(_class_groups(told.where("kind = 1"), members, classes))
-    allowed = stored(_allowed(_stars(grouped), classes, threshold))
+    grouped = stored(_class_groups(told.where("kind = 1"), members, classes, threshold))
+    allowed = _allowed(_stars(grouped), classes, threshold)
+    allowed = stored(allowed.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")))
     sets = _sets(own, allowed.select(F.col("a").alias("key")).union(allowed.select(F.col("b").alias("key"))).distinct(), classes, words)
-    # first each class with the smallest class that shares most of its signatures, then what this leaves apart
-    nearest = allowed.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    links = stored(verified(nearest, sets, threshold))
+    links = stored(verified(allowed.select("a", "b"), sets, threshold))
     roots = components(links)
-    others = stored(_apart(allowed.select("a", "b").join(nearest, ["a", "b"], "left_anti"), roots))
-    if not others.isEmpty():
-        links = stored(links.union(verified(others, sets, threshold)))
-        roots = components(links)
-    rest = stored(_across(grouped, classes, roots, threshold, parts).join(_stars(grouped).select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        sets = _sets(own, rest.select(F.col("a").alias("key")).union(rest.select(F.col("b").alias("key"))).distinct(), classes, words)
-        more = stored(verified(rest, sets, threshold))
+    units = stored(_units(grouped, roots))
+    if not units.isEmpty():
+        sets = _sets(own, units.select("key").distinct(), classes, words)
+        more = stored(_within_units(units, sets, threshold, parts))
         if not more.isEmpty():
             roots = components(links.union(more))
     tops = classes.select("key", "top")
@@ -262,14 +295,16 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     return members.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _class_groups(groups: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(gid, key, times, n): the groups of two classes or more, without each class's most frequent signatures."""
+def _class_groups(groups: DataFrame, members: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(gid, key, times, n): the groups of two classes or more, without each class's most frequent signatures of either family."""
+    p, q = threshold
     groups = groups.groupBy("gid", "chunk", "row").agg(F.sum("times").alias("times"))
     found = groups.join(members.select("chunk", "row", "key"), ["chunk", "row"]).groupBy("gid", "key").agg(F.max("times").alias("times"))
     sizes = found.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
-    found = found.join(sizes, "gid").join(classes.select("key", "n", "least"), "key")
-    order = Window.partitionBy("key").orderBy(F.desc("m"), "gid").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("before", F.sum("times").over(order)).where("before >= least").select("gid", "key", "times", "n")
+    found = found.join(sizes, "gid").join(classes.select("key", "n", "least"), "key").withColumn("family", F.col("gid").bitwiseAND(F.lit(1)))
+    order = Window.partitionBy("key", "family").orderBy(F.desc("m"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    least = F.when(F.col("family") == 1, F.ceil(F.col("n") * p / q)).otherwise(F.col("least"))
+    return found.withColumn("before", F.sum("times").over(order)).where(F.col("before") >= least).select("gid", "key", "times", "n")
 
 
 def _stars(grouped: DataFrame) -> DataFrame:
@@ -279,7 +314,7 @@ def _stars(grouped: DataFrame) -> DataFrame:
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b, times) that sizes and sketches allow."""
+    """The stars (a, b, times) that sizes and sketches allow."""
 
     def check(batches):
         for batch in batches:
@@ -297,58 +332,97 @@ def _sizes_fit(n: np.ndarray, m: np.ndarray, threshold: tuple[int, int]) -> np.n
     return threshold[1] * np.minimum(n, m) >= threshold[0] * np.maximum(n, m)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose classes aren't in one component yet."""
-    for side in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    return pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-
-def _across(grouped: DataFrame, classes: DataFrame, roots: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
-    """The pairs (a, b) of one group in different components that sizes and sketches allow.
+def _units(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """(unit, key, n, root, own, i, j): the classes to compare, those of each block of a unit.
 
-    Groups are cut into blocks of about BLOCK members; each pair of blocks is a unit of
-    work of its own, so that a large group is spread over tasks.
+    What the groups that hold several components have in common makes clusters. A cluster that
+    fits into one block, or whose groups together have more pairs than it has, is a unit: so a
+    class is sent once, not once for each of its groups. Otherwise the groups are the units. Units are cut into blocks of
+    about BLOCK classes and BLOCK_ELEMENTS elements; each pair of blocks is a task's work of its own.
     """
     label = grouped.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = label.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("r <> s").select("gid", "blocks")
-    label = label.join(mixed, "gid").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    label = label.select("gid", "key", "n", "root", "own", other.alias("other")).select("gid", "key", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    label = label.join(classes.select("key", "sketch"), "key")
+    mixed = label.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("key").alias("a"), F.count("*").alias("m")).where("r <> s").select("gid", "a", "m")
+    label = stored(label.join(mixed, "gid"))
+    stars = label.where("a <> key").select("a", F.col("key").alias("b"))
+    clusters = components(stars)
+    clusters = stored(clusters.union(clusters.select("root", "root").distinct()).select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    label = label.join(clusters, "key")
+    pairs = label.groupBy("cluster", "gid").agg(F.first("m").alias("m")).groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    one = label.groupBy("cluster", "key").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    size = one.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    whole = size.join(pairs, "cluster").where((_blocks() == 1) | (F.col("m") * F.col("m") <= F.col("pairs"))).select("cluster", _blocks().alias("blocks"))
+    whole = stored(whole)
+    by_cluster = one.join(whole, "cluster").select(F.xxhash64("cluster").alias("unit"), "key", "n", "root", "blocks")
+    apart = label.join(whole, "cluster", "left_anti")
+    cut = apart.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("n")).select("gid", _blocks().alias("blocks"))
+    by_group = apart.join(cut, "gid").select(F.col("gid").alias("unit"), "key", "n", "root", "blocks")
+    rows = by_cluster.union(by_group).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return rows.select("unit", "key", "n", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _blocks():
+    """The number of blocks of m classes with n elements together."""
+    return F.ceil(F.greatest(F.col("m") / BLOCK, F.col("n") / BLOCK_ELEMENTS))
+
+
+def linked(elements: list[np.ndarray], root: np.ndarray, block: np.ndarray, across: bool, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different roots; with `across`, only between different blocks.
+
+    Sets are taken in the order of their sizes; each is compared with all larger ones that
+    its size allows, by counting its elements among theirs.
+    """
+    p, q = threshold
+    order = np.argsort([len(e) for e in elements], kind="stable")
+    size = np.array([len(elements[i]) for i in order], np.int64)
+    label, block = root[order].copy(), block[order]
+    _, ids, often = np.unique(np.concatenate([elements[i] for i in order]), return_inverse=True, return_counts=True)
+    common = often[ids] > 1
+    first = np.append(0, np.cumsum(common))[tk.starts_of(size)]
+    ids = ids[common]
+    here = np.zeros(len(often), np.int32)
+    found = []
+    reach = np.searchsorted(size, size * q // p, side="right")
+    for x in range(len(size) - 1):
+        wanted = label[x + 1 : reach[x]] != label[x]
+        if across:
+            wanted &= block[x + 1 : reach[x]] != block[x]
+        if not wanted.any():
+            continue
+        mine = ids[first[x] : first[x + 1]]
+        here[mine] = 1
+        shared = tk.segment_sum(here[ids[first[x + 1] : first[reach[x]]]], first[x + 1 : reach[x] + 1] - first[x + 1])
+        here[mine] = 0
+        for y in (np.flatnonzero(wanted & (q * shared >= p * (size[x] + size[x + 1 : reach[x]] - shared))) + x + 1).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                found.append((int(order[x]), int(order[y])))
+    return found
+
+
+def _within_units(units: DataFrame, sets: DataFrame, threshold: tuple[int, int], parts: int) -> DataFrame:
+    """The links (a, b) that join the components of each unit, a forest for each pair of blocks."""
 
     def check(batches):
         held, unit = [], None
 
         def flush():
-            keys = [h[0] for h in held]
-            n = np.array([h[1] for h in held])
             names: dict = {}
-            root = np.array([names.setdefault(h[2], len(names)) for h in held])
-            block = np.array([h[3] for h in held])
-            table = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, 256).astype(np.int16)
-            a, b = [], []
-            for i in range(len(held) - 1):
-                later = np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) | (unit[1] == unit[2])) & _sizes_fit(n[i + 1 :], n[i], threshold)) + i + 1
-                if len(later):
-                    later = later[np.abs(table[later] - table[i]).sum(axis=1) <= most_differences(n[later], n[i], threshold)]
-                for k in later.tolist():
-                    x, y = sorted((keys[i], keys[k]))
-                    a.append(x)
-                    b.append(y)
+            root = np.array([names.setdefault(h[1], len(names)) for h in held])
+            pairs = linked([_unpack(h[3]) for h in held], root, np.array([h[2] for h in held]), unit[1] != unit[2], threshold)
+            keys = [h[0] for h in held]
             held.clear()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in pairs], pa.binary()), pa.array([keys[y] for _, y in pairs], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for gid, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if (gid, i, j) != unit:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if row[:3] != unit:
                     if held:
-                        yield from flush()
-                    unit = (gid, i, j)
-                held.append(row)
+                        yield flush()
+                    unit = row[:3]
+                held.append(row[3:])
         if held:
-            yield from flush()
+            yield flush()
 
-    spread = label.select("gid", "i", "j", "key", "n", "root", "own", "sketch").repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    return spread.mapInArrow(check, "a binary, b binary").distinct()
+    spread = units.join(sets, "key").select("unit", "i", "j", "key", "root", "own", "elements").repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return spread.mapInArrow(check, "a binary, b binary")
