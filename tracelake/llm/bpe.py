@@ -37,7 +37,8 @@ from . import textkernel as tk
 from .shared import bound_batches
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-CACHE = 200_000
+#: Bytes that a worker's cache of merged slices may take, by a rough count of 200 for each entry besides its bytes.
+CACHE_BYTES = 24 << 20
 #: White space of the pattern's \s
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _PLANES: dict[int, np.ndarray] = {}
@@ -121,6 +122,7 @@ class Vocabulary:
         self.first = tk.starts_of(np.array([len(w) for w in words]))
         self.data = np.frombuffer(b"".join(words), np.uint8)
         self.cache: dict[bytes, bytes] = {}
+        self.cached = 0
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of one pre-token, 4 bytes each: the adjacent pair of lowest rank is joined until no pair has one."""
@@ -128,10 +130,12 @@ class Vocabulary:
         if found is None:
             rank = self.ranks.get(piece)
             found = np.array([rank] if rank is not None else _merged(piece, self.ranks), np.uint32).tobytes()
-            if len(self.cache) >= CACHE:
+            if self.cached >= CACHE_BYTES:
                 self.cache.clear()
+                self.cached = 0
             if len(piece) <= 64:
                 self.cache[piece] = found
+                self.cached += 200 + len(piece) + len(found)
         return found
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import BROADCAST_ROWS, bound_batches, if_small, partitions, stored
+from .shared import BROADCAST_ROWS, bound_batches, discard, if_small, partitions, stored, written
 from .signing import ROWS, chunk_number, packed_rows, told_rows
 
 EDITS = 2
@@ -177,7 +177,7 @@ def _signed(docs: DataFrame, edits: int, least: int, buckets: int, exact_short:
     def sign(batches):
         sequence = 0
         for batch in batches:
-            for part in tk.chunks(batch, "t"):
+            for part in tk.chunks(batch, "t", tk.SIGNED_BYTES):
                 cells, start, length, row, number = _lines(part.column(2), least, exact_short)
                 hasher, byte = _bytes(part.column(2))
                 keys = hasher.digests(byte[start], byte[start + length])
@@ -292,6 +292,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, d
     classes = lines.groupBy("key").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.first("length").alias("length"))
     met = groups.join(lines.select("chunk", "row", "key"), ["chunk", "row"]).select("gid", "key").distinct()
     several = met.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
+    needed = written()
     met = stored(met.join(several, "gid").join(classes, "key").select("gid", "key", "first", "length"))
     earliest = met.groupBy("gid").agg(F.min(F.struct("first", "key", "length")).alias("e"))
     stars = met.join(earliest, "gid").where(f"key <> e.key and abs(length - e.length) <= {edits}").select(F.col("e.key").alias("a"), F.col("key").alias("b")).distinct()
@@ -304,7 +305,10 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, d
     open_groups = late.join(asked, "gid").join(texts, "key").select("gid", "key", "first", "length", "line", "late")
     near = near.union(_near_earlier(open_groups, edits, parts)).distinct()
     bad = classes.join(near.select(F.col("b").alias("key"), F.lit(True).alias("near")), "key", "left").where("n > 1 or near").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(if_small(stored(bad)), "key").where(F.col("near") | ~F.col("pos").eqNullSafe(F.col("first")))
+    made = written()
+    bad = stored(bad)
+    discard(spark, *(made - needed))
+    gone = lines.join(if_small(bad), "key").where(F.col("near") | ~F.col("pos").eqNullSafe(F.col("first")))
     return gone.groupBy(F.col("pos.d").alias("d"), F.col("pos.rk").alias("rk")).agg(F.array_sort(F.collect_set("pos.no")).alias("lines"))
 
 

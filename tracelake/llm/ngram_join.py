@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import bound_batches, components, if_small, partitions, stored
+from .shared import bound_batches, components, discard, if_small, partitions, stored, written
 from .signing import chunk_number, packed_rows, told_rows
 
 WORDS = 5
@@ -191,7 +191,7 @@ def _signed(docs: DataFrame, words: int, threshold: tuple[int, int], buckets: in
     def sign(batches):
         number = 0
         for batch in batches:
-            for part in tk.chunks(batch, "t"):
+            for part in tk.chunks(batch, "t", tk.SIGNED_BYTES):
                 chunk, number = chunk_number(number), number + 1
                 elements, counts = shingle_sets(part.column(1), words)
                 keys = set_keys(elements, counts)
@@ -275,6 +275,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     members = told.where("kind = 0").select("chunk", "row", "doc_id", "n", "key")
     classes = told.where("kind = 0 and key is not null").groupBy("key").agg(F.min("doc_id").alias("top"), F.first("n").alias("n"), F.min("least").alias("least"), F.first("sketch", True).alias("sketch"))
     classes = stored(classes)
+    needed = written()
     grouped = stored(_class_groups(told.where("kind = 1"), members, classes, threshold))
     allowed = _allowed(_stars(grouped), classes, threshold)
     allowed = stored(allowed.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")))
@@ -287,6 +288,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
         more = stored(_within_units(units, sets, threshold, parts))
         if not more.isEmpty():
             roots = components(links.union(more))
+    roots = stored(roots)
+    kept = roots.inputFiles()
+    discard(spark, *(path for path in written() - needed if not any(path in f for f in kept)))
     tops = classes.select("key", "top")
     placed = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     least = placed.join(tops, placed["node"] == tops["key"]).groupBy("root").agg(F.min("top").alias("component_id"))

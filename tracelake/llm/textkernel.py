@@ -7,20 +7,15 @@ text, not the batch.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-
-try:
-    _LIBC = ctypes.CDLL("libc.so.6")
-    _LIBC.mallopt  # noqa: B018  other C libraries lack it
-except (OSError, AttributeError):
-    _LIBC = None
-CHUNK_BYTES = 1_000_000
+
+CHUNK_BYTES = 400_000
+#: Chunks whose signatures are packed together: larger ones make fewer rows.
+SIGNED_BYTES = 1_000_000
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -44,28 +39,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Worker:
-    settled = False
-
-
-def settle() -> None:
-    """In a Spark worker, once: large blocks are mapped apart and so go back to the system when they're freed.
-
-    Workers live on after their task and share the executor's memory with its JVM; what
-    numpy and Arrow keep for later use there is lost to the next stage.
-    """
-    if not _Worker.settled and TaskContext.get() is not None:
-        _Worker.settled = True
-        if _LIBC is not None:
-            _LIBC.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-            _LIBC.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-        pa.set_memory_pool(pa.system_memory_pool())
-
-
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 15):
     """Slices of a batch whose texts hold at most `limit` bytes, with one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
-    settle()
     n = batch.num_rows
     if not n:
         return
