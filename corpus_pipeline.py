@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontamination, language_id, line_dedup, ngram_join
-from tracelake.llm.shared import if_small, shared_dir, stored
+from tracelake.llm.shared import discard, if_small, kept_until_exit, shared_dir, stored, written
 
 #: A prediction below this probability is a rejection, as `und` is.
 LANGUAGE_SCORE = 0.5
@@ -76,10 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage has written besides its result goes when it ends, its input when the next one ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = shared_dir(spark)
     for number, (_, stage) in enumerate(STAGES):
+        before = written()
         path = f"{base}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(kept_until_exit(spark, path))
+        discard(spark, *(written() - before - {path}), *([f"{base}/{number - 1}"] if number else []))
         docs = spark.read.parquet(path)
     return docs
