@@ -49,6 +49,15 @@ def test_information_separators_are_no_white_space(reference):
     assert ids_of(texts) == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_merges_of_many_pieces_like_the_library(reference):
+    random.seed(11)
+    pieces = ["".join(random.choices("abcdeéstring ü你", k=random.randrange(1, 90))).replace(" ", "") or "x" for _ in range(3000)]
+    v = bpe.Vocabulary(bpe.default_path())
+    got = [np.frombuffer(x, "<u4").tolist() for x in v.merge([p.encode() for p in pieces])]
+    assert got == [reference.encode_ordinary(p) for p in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.merge([p.encode() for p in pieces])] == got and v.merge([]) == []
+
+
 def test_documents_round_trip(spark, sf, reference):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.union(spark.createDataFrame([(9001, None, "x"), (9001, "", "x"), (None, "a b", None), (9002, "long " * 40000, "")], docs.schema))

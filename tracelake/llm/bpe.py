@@ -15,8 +15,8 @@ run end known, a token boundary depends on a few neighbours only:
   form a token, and the rest of the letter run begins another.
 
 Equal slices are merged once: slices of a chunk are grouped by a hash and compared with
-their group's first slice, each group's bytes are looked up in a bounded cache or merged by
-rank. The slices' offsets, the ids and
+their group's first slice, each group's bytes are looked up in a bounded cache, and those
+not found there are merged by rank, all together: a round joins one pair of each. The slices' offsets, the ids and
 the ids' byte lengths are kept, so decoding is one gather from the vocabulary's bytes, and
 every token has its span in the text.
 """
@@ -37,6 +37,8 @@ from . import textkernel as tk
 from .shared import bound_batches
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Pre-tokens of more bytes are merged one by one and not cached.
+LONG_PIECE = 64
 #: Bytes that a worker's cache of merged slices may take, by a rough count of 200 for each entry besides its bytes.
 CACHE_BYTES = 24 << 20
 #: White space of the pattern's \s
@@ -108,6 +110,92 @@ def boundaries(cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(token)
 
 
+class Pairs:
+    """The rank of each pair of tokens that together are a token, in a table with open addressing."""
+
+    NONE = np.uint32(0xFFFFFFFF)
+    BITS = 20
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(a << 32 | b, r) for w, r in ranks.items() for k in range(1, len(w)) if (a := ranks.get(w[:k])) is not None and (b := ranks.get(w[k:])) is not None]
+        keys, values = np.array([k for k, _ in found], np.uint64), np.array([r for _, r in found], np.uint32)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.uint32)
+        self.bits = max(self.BITS, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, ~tk.U64(0))
+        self.values = np.full(1 << self.bits, self.NONE)
+        slot = self._slot(keys)
+        while len(keys):
+            # of the keys that want an empty slot the first one gets it, all others try the next slot
+            free = np.flatnonzero(self.keys[slot] == ~tk.U64(0))
+            at, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[at], self.values[at] = keys[won], values[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, values, slot = keys[rest], values[rest], self._after(slot[rest])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (tk.mix64(keys) >> tk.U64(64 - self.bits)).astype(np.int64)
+
+    def _after(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE for those without."""
+        keys = left.astype(np.uint64) << tk.U64(32) | right
+        out = np.full(len(keys), self.NONE)
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot]
+            same = there == keys[open_]
+            out[open_[same]] = self.values[slot[same]]
+            more = ~same & (there != ~tk.U64(0))
+            open_, slot = open_[more], self._after(slot[more])
+        return out
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, all pieces at once: a round joins each one's leftmost pair of lowest rank."""
+        if not pieces:
+            return []
+        size = np.array([len(x) for x in pieces])
+        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        of = np.repeat(np.arange(len(pieces)), size)
+        rank = np.full(len(ids), self.NONE)
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        rank[inner] = self.rank(ids[inner], ids[inner + 1])
+        done_ids, done_of = [], []
+        while len(ids):
+            head = np.flatnonzero(np.diff(of, prepend=-1))
+            best = np.minimum.reduceat(rank, head)
+            whole = np.repeat(best, np.diff(np.append(head, len(ids))))
+            ended = whole == self.NONE
+            if ended.any():
+                done_ids.append(ids[ended])
+                done_of.append(of[ended])
+                ids, of, rank, whole = ids[~ended], of[~ended], rank[~ended], whole[~ended]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == whole)
+            at = at[np.diff(of[at], prepend=-1) != 0]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # each cut before moves the later ones to the left
+            ids, of, rank = ids[keep], of[keep], rank[keep]
+            for left in (at, at[at > 0] - 1):
+                inside = left + 1 < len(ids)
+                rank[left[~inside]] = self.NONE
+                left = left[inside]
+                same = of[left] == of[left + 1]
+                rank[left[~same]] = self.NONE
+                rank[left[same]] = self.rank(ids[left[same]], ids[left[same] + 1])
+        ids, of = np.concatenate(done_ids), np.concatenate(done_of)
+        order = np.argsort(of, kind="stable")
+        raw = ids[order].astype("<u4").tobytes()
+        cut = (4 * tk.starts_of(np.bincount(of, minlength=len(pieces)))).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE as merge table and as decoding table."""
 
@@ -123,20 +211,31 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(words), np.uint8)
         self.cache: dict[bytes, bytes] = {}
         self.cached = 0
-
-    def merge(self, piece: bytes) -> bytes:
-        """Ids of one pre-token, 4 bytes each: the adjacent pair of lowest rank is joined until no pair has one."""
-        found = self.cache.get(piece)
-        if found is None:
-            rank = self.ranks.get(piece)
-            found = np.array([rank] if rank is not None else _merged(piece, self.ranks), np.uint32).tobytes()
-            if self.cached >= CACHE_BYTES:
-                self.cache.clear()
-                self.cached = 0
-            if len(piece) <= 64:
-                self.cache[piece] = found
-                self.cached += 200 + len(piece) + len(found)
-        return found
+        self.pairs = Pairs(self.ranks)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, 4 bytes each: the adjacent pair of lowest rank is joined until no pair has one."""
+        out = [self.cache.get(x) for x in pieces]
+        new = [i for i, x in enumerate(out) if x is None]
+        short = []
+        for i in new:
+            piece = pieces[i]
+            if (rank := self.ranks.get(piece)) is not None:
+                out[i] = rank.to_bytes(4, "little")
+            elif len(piece) > LONG_PIECE:
+                out[i] = np.array(_merged_long([piece[k : k + 1] for k in range(len(piece))], self.ranks), "<u4").tobytes()
+            else:
+                short.append(i)
+        for i, found in zip(short, self.pairs.merged([pieces[i] for i in short]), strict=True):
+            out[i] = found
+        if self.cached >= CACHE_BYTES:
+            self.cache.clear()
+            self.cached = 0
+        for i in new:
+            if len(pieces[i]) <= LONG_PIECE:
+                self.cache[pieces[i]] = out[i]
+                self.cached += 200 + len(pieces[i]) + len(out[i])
+        return out
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids end to end, and each id's offset."""
@@ -147,27 +246,8 @@ class Vocabulary:
         return self.data[cells], at
 
 
-def _merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 200:
-        return _merged_long(parts, ranks)
-    get = ranks.get
-    pairs = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            return [ranks[p] for p in parts]
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1])
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i])
-
-
 def _merged_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """The same for long pre-tokens, by a heap over a linked list."""
+    """Ids of a long pre-token, by a heap over a linked list."""
     import heapq
 
     n = len(parts)
@@ -218,7 +298,7 @@ def encode_column(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray,
     end = np.append(start[1:], len(data))
     first, group = _grouped(tk.SpanHasher(data), start, end)
     raw = data.tobytes()
-    merged = [vocabulary.merge(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    merged = vocabulary.merge([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
     size = np.array([len(m) for m in merged]) // 4
     flat, at = np.frombuffer(b"".join(merged), np.uint32), tk.starts_of(size)
     per_piece = size[group]
