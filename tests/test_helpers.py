@@ -162,7 +162,7 @@ def test_store_publishes_a_batch_once(spark, tmp_path):
     rows = spark.createDataFrame([("u", "s", "x", 1)], "uuid string, session_id string, text string, seq long")
     assert store.merge({"messages": rows}, "b1") == 1 and store.merge({"messages": rows.withColumn("text", F.lit("y"))}, "b1") == 1
     assert ids(store.tables()["messages"], "text") == ["x"] and store.version() == (1, "b1")
-    assert Engine.open(spark, f"{tmp_path}/store/v1").t.messages.count() == 1
+    assert Engine.open(spark, store.folder(1)).t.messages.count() == 1
 
 
 def test_assembly():

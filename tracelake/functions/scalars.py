@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import posixpath
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.predicates import as_column
 
 BODY_CHARS = 10_000
-_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|z|[+-]\d{2}:?\d{2})$"
+_ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
 #: Tools whose input names a file.
 FILE_TOOLS = ("Read", "Edit", "Write", "NotebookEdit")
 
@@ -23,10 +25,33 @@ def truncated(text, limit: int | None = BODY_CHARS) -> Column:
 def canonical_timestamp(text) -> Column:
     """A zoned ISO time as UTC with milliseconds; what has no zone or can't be read stays; '' is null."""
     c = as_column(text)
-    read = F.date_format(F.try_to_timestamp(F.regexp_replace(c, " ", "T")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    read = F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.when(c == "", F.lit(None)).when(c.rlike(_ZONED), F.coalesce(read, c)).otherwise(c)
 
 
+def normalized_cwd(path) -> Column:
+    """An absolute path without empty, `.` and `..` parts; an ending slash stays; null for what isn't absolute."""
+    c = as_column(path)
+    parts = F.filter(F.split(c, "/"), lambda x: ~x.isin("", "."))
+    stack = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    whole = F.concat(F.lit("/"), F.array_join(stack, "/"))
+    return F.when(F.startswith(c, F.lit("/")), F.when(c.rlike("/$") & (whole != "/"), F.concat(whole, F.lit("/"))).otherwise(whole))
+
+
+def slug_from_path(path) -> Column:
+    """/a/b -> -a-b, for absolute paths, normalized"""
+    c = normalized_cwd(path)
+    return F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace(c, r"^[\\/]+", ""), r"[\\/]+", "-"))
+
+
+def slug_of(path: str | None) -> str | None:
+    """slug_from_path of one path."""
+    if not path or not path.startswith("/"):
+        return None
+    whole = posixpath.normpath("/" + path.lstrip("/")) + ("/" if path.endswith("/") and path.strip("/") else "")
+    return "-" + re.sub(r"[\\/]+", "-", re.sub(r"^[\\/]+", "", whole))
+
+
 def folded_tokens(*parts) -> Column:
     """The sum of token counts; null only if every part is."""
     columns = [as_column(p) for p in parts]

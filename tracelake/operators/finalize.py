@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import predicates as p
+from tracelake.functions import scalars
 
 TITLE_CHARS = 80
 #: Blocks that a title leaves out.
@@ -17,7 +18,7 @@ WARMUP = r"(?i)^warm ?up$"
 
 def observed_paths(messages: DataFrame) -> DataFrame:
     """(session_id, project_path): the most frequent absolute folder; ties go to the one seen first, known times before unknown."""
-    seen = messages.where(F.startswith(F.col("cwd"), F.lit("/"))).groupBy("session_id", "cwd").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.min("ingest_seq").alias("seq"))
+    seen = messages.withColumn("cwd", scalars.normalized_cwd("cwd")).where("cwd is not null").groupBy("session_id", "cwd").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.min("ingest_seq").alias("seq"))
     k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), F.asc_nulls_last("first"), "seq"))
     return seen.withColumn("k", k).where("k = 1").select("session_id", F.col("cwd").alias("project_path"))
 
@@ -28,12 +29,6 @@ def path_from_slug(project) -> Column:
     return F.when(c != "", F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(c, "^-", ""), "-", "/")))
 
 
-def slug_from_path(path) -> Column:
-    """/a/b -> -a-b, for absolute paths"""
-    c = p.as_column(path)
-    return F.when(F.startswith(c, F.lit("/")), F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace(c, "^/+|/+$", ""), "/+", "-")))
-
-
 def refreshed_paths(sessions: DataFrame, messages: DataFrame, only_unresolved: bool = False) -> DataFrame:
     """sessions with their observed path, else the one that the slug tells."""
     found = sessions.join(observed_paths(messages).withColumnRenamed("project_path", "observed"), sessions["id"] == F.col("session_id"), "left").drop("session_id")

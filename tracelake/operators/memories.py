@@ -101,3 +101,13 @@ def restore(table: DataFrame, id: str) -> DataFrame:
 def _set(table: DataFrame, id: str, at: str | None, reason: str | None) -> DataFrame:
     own = F.col("id") == id
     return table.withColumn("deleted_at", F.when(own, F.lit(at)).otherwise(F.col("deleted_at"))).withColumn("deleted_reason", F.when(own, F.lit(reason)).otherwise(F.col("deleted_reason")))
+
+
+def file_text(spark, path: str) -> str | None:
+    """A memory's markdown file; None if it can't be read."""
+    from tracelake.functions.storage import text_at
+
+    try:
+        return text_at(spark, path)
+    except Exception:  # noqa: BLE001  a missing or unreadable file of any store
+        return None

@@ -8,11 +8,16 @@ a new one gets base + seq, which needs no global numbering.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions import storage
 from tracelake.functions.storage import scratch
 from tracelake.plans import schema
 
@@ -135,12 +140,38 @@ def delete_sessions(tables: dict[str, DataFrame], deletes: DataFrame) -> dict[st
     return out
 
 
+#: Tables whose rows are a session's own, so that a session that is read again tells which of them are left.
+OWNED = ("messages", "tool_calls", "tool_results", "summaries", "subagents", "workflows", "workflow_agents", "sessions")
+
+
+def retracted(tables: dict[str, DataFrame], records: dict[str, DataFrame], again: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows of the sessions `again` (session_id) that a whole new reading of them doesn't have."""
+    gone = again.select(F.col("session_id").alias("__s")).distinct()
+    out = dict(tables)
+    for name in OWNED:
+        key, session = schema.KEYS[name], "id" if name == "sessions" else "session_id"
+        # a row that isn't read again goes if its session is
+        suspects = tables[name].join(gone, F.col(session) == F.col("__s"), "left_semi").select(F.col(key).alias("__k"))
+        if name in records:
+            suspects = suspects.join(records[name].select(F.col(key).alias("__n")), F.col("__k") == F.col("__n"), "left_anti")
+        out[name] = tables[name].join(suspects, F.col(key) == F.col("__k"), "left_anti")
+    return out
+
+
 def apply(tables: dict[str, DataFrame], records: dict[str, DataFrame], base: int = 0) -> dict[str, DataFrame]:
     """The tables after a stream of records by kind: tables' rows, `deletes` (session_id, seq), `turn_durations`, `cursors`.
 
     Deletes are barriers: what came before one of its session is gone, what comes after stays.
+    `again` (session_id) names sessions of which the records are a whole new reading, `forgotten`
+    (jsonl_path) the cursors of files that are gone.
     """
     out = dict(tables)
+    records = dict(records)
+    again, forgotten = records.pop("again", None), records.pop("forgotten", None)
+    if again is not None:
+        out = retracted(out, records, again)
+    if forgotten is not None:
+        out["index_state"] = out["index_state"].join(forgotten.select(F.col("jsonl_path").alias("__p")), F.col("jsonl_path") == F.col("__p"), "left_anti")
     deletes = records.get("deletes")
     rows = {k: v for k, v in records.items() if k != "deletes"}
     if deletes is not None:
@@ -178,53 +209,99 @@ def patched(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(patch.where("change <> 'removed'").select("row.*"))
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the version that was to be published."""
+
+
 class Store:
-    """Versions of the canonical tables in a shared folder; a pointer file names the current one.
+    """Versions of the canonical tables in a shared folder.
 
-    A version is written in full before the pointer moves, by one rename; readers keep the
-    version that they opened, and a batch id is published once.
+    A version's tables are written in full to a folder of their own, then a file named by
+    its number is made, which only one writer can do: publishing is compare-and-set on the
+    version that a writer began with, so no writer's batch is lost. A batch id is published
+    once. The last `keep` versions stay, and older ones for `grace` seconds, which is how
+    long a reader may go on with the version that it opened.
     """
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._at = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark, path: str, keep: int = 2, grace: float = 3600.0):
+        self.spark, self.path, self.keep, self.grace = spark, path.rstrip("/"), keep, grace
+
+    def _numbers(self) -> list[int]:
+        return [int(n) for n in storage.names_in(self.spark, f"{self.path}/versions")]
 
-    def _pointer(self) -> list[str]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))] if self._fs.exists(self._at(self.path)) else []
-        return sorted(n for n in names if n.startswith("current-"))
+    def _told(self, number: int) -> dict:
+        return json.loads(storage.text_at(self.spark, f"{self.path}/versions/{number:012d}"))
 
     def version(self) -> tuple[int, str] | None:
         """(number, batch id) of the current version."""
-        found = self._pointer()
-        if not found:
-            return None
-        _, number, batch = found[-1].split("-", 2)
-        return int(number), batch
+        numbers = self._numbers()
+        return (numbers[-1], self._told(numbers[-1])["batch"]) if numbers else None
 
-    def tables(self) -> dict[str, DataFrame]:
-        now = self.version()
-        if now is None:
+    def tables(self, number: int | None = None) -> dict[str, DataFrame]:
+        """The tables of a version, else of the current one."""
+        numbers = self._numbers()
+        if number is None and not numbers:
             return {n: self.spark.createDataFrame([], schema.struct_of(n)) for n in schema.TABLES}
-        return {n: schema.migrated(self.spark.read.parquet(f"{self.path}/v{now[0]}/{n}"), n) for n in schema.TABLES}
+        folder = self.folder(number)
+        return {n: schema.migrated(self.spark.read.parquet(f"{folder}/{n}"), n) for n in schema.TABLES}
+
+    def folder(self, number: int | None = None) -> str:
+        """The folder of a version's tables, as Engine.open() takes it; of the current one by default."""
+        return f"{self.path}/{self._told(self._numbers()[-1] if number is None else number)['folder']}"
 
-    def publish(self, tables: dict[str, DataFrame], batch: str, keep: int = 2) -> int:
+    def published(self, batch: str) -> int | None:
+        """The version under which a batch was published, if it was."""
         now = self.version()
-        if now is not None and any(n.split("-", 2)[2] == batch for n in self._pointer()):
+        if now is not None and now[1] == batch:
             return now[0]
-        number = 1 + (now[0] if now else 0)
+        name = hashlib.sha256(batch.encode()).hexdigest()
+        return int(storage.text_at(self.spark, f"{self.path}/batches/{name}")) if name in storage.names_in(self.spark, f"{self.path}/batches") else None
+
+    def publish(self, tables: dict[str, DataFrame], batch: str, after: int | None = None) -> int:
+        """Makes the tables the version that follows `after` (the current one by default); Conflict if that exists already."""
+        known = self.published(batch)
+        if known is not None:
+            return known
+        now = self.version()
+        if now is not None:  # a writer that stopped after its version was named
+            storage.put_once(self.spark, f"{self.path}/batches/{hashlib.sha256(now[1].encode()).hexdigest()}", str(now[0]))
+        number = 1 + ((now[0] if now else 0) if after is None else after)
+        folder = f"tables/{number:012d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v{number}/{name}")
-        self._fs.create(self._at(f"{self.path}/.new")).close()
-        if not self._fs.rename(self._at(f"{self.path}/.new"), self._at(f"{self.path}/current-{number:012d}-{batch}")):
-            raise OSError("the version could not be published")
-        for old in range(1, number - keep + 1):
-            self._fs.delete(self._at(f"{self.path}/v{old}"), True)
+            df.write.parquet(f"{self.path}/{folder}/{name}")
+        if not storage.put_once(self.spark, f"{self.path}/versions/{number:012d}", json.dumps({"batch": batch, "folder": folder})):
+            self._delete(folder)
+            raise Conflict(f"version {number} is another writer's")
+        storage.put_once(self.spark, f"{self.path}/batches/{hashlib.sha256(batch.encode()).hexdigest()}", str(number))
+        self._expire(number)
         return number
 
-    def merge(self, records: dict[str, DataFrame], batch: str) -> int:
-        number = 1 + (self.version() or (0, ""))[0]
-        return self.publish(apply(self.tables(), records, number << 40), batch)
+    def _delete(self, folder: str) -> None:
+        at, fs = storage.filesystem(self.spark, self.path)
+        fs.delete(at(f"{self.path}/{folder}"), True)
+
+    def _expire(self, number: int) -> None:
+        at, fs = storage.filesystem(self.spark, self.path)
+        held = {self._told(n)["folder"].split("/")[1] for n in self._numbers() if n > number - self.keep}
+        for name in storage.names_in(self.spark, f"{self.path}/tables"):
+            # what no version names may be one that is being written: it stays for the grace time too
+            if name not in held and int(name.split("-")[0]) <= number - self.keep:
+                if time.time() - fs.getFileStatus(at(f"{self.path}/tables/{name}")).getModificationTime() / 1000 > self.grace:
+                    self._delete(f"tables/{name}")
+
+    def merge(self, records: dict[str, DataFrame], batch: str, attempts: int = 5) -> int:
+        """Publishes the current tables with a batch applied; if another writer was faster, again on top of its version."""
+        for attempt in range(attempts):
+            known = self.published(batch)
+            if known is not None:
+                return known
+            after = (self.version() or (0, ""))[0]
+            try:
+                return self.publish(apply(self.tables(after or None), records, (after + 1) << 40), batch, after)
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise ValueError("attempts must be 1 or more")
 
 
 def retained(old: DataFrame, ids: DataFrame, fresh: DataFrame, table: str, column: str = "session_id") -> DataFrame:

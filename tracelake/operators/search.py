@@ -13,7 +13,7 @@ import functools
 import itertools
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,19 +55,22 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Phrase:
-    """Consecutive words, the last one perhaps a prefix."""
+    """Consecutive words, the last one perhaps a prefix; `first`: at a column's beginning only; `columns`: in these only."""
 
     words: tuple[str, ...]
     prefix: bool = False
+    first: bool = False
+    columns: frozenset[str] | None = None
 
     def pattern(self) -> str:
-        return "".join(f" {w}" for w in self.words) + ("[^ ]*" if self.prefix else "") + "(?= )"
+        return "^" * self.first + "".join(f" {w}" for w in self.words) + ("[^ ]*" if self.prefix else "") + "(?= )"
 
 
 @dataclass(frozen=True)
 class Near:
     phrases: tuple[Phrase, ...]
     distance: int
+    columns: frozenset[str] | None = None
 
     def pattern(self) -> str:
         gap = rf"(?: [^ ]+){{0,{self.distance}}}"
@@ -89,8 +92,18 @@ class QuerySyntaxError(ValueError):
 _LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()*+:^,{}-])|([^\s"()*+:^,{}-]+))')
 
 
+def within_columns(tree, columns: frozenset[str]):
+    """The tree, looked for in these columns only."""
+    if isinstance(tree, Op):
+        return Op(tree.name, within_columns(tree.left, columns), within_columns(tree.right, columns))
+    if isinstance(tree, Near):
+        tree = replace(tree, phrases=tuple(within_columns(x, columns) for x in tree.phrases))
+    return replace(tree, columns=columns if tree.columns is None else tree.columns & columns)
+
+
 class _Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, columns: tuple[str, ...] = ()):
+        self.columns = tuple(c.lower() for c in columns)
         self.items, at = [], 0
         text = text.rstrip()
         while at < len(text):
@@ -148,7 +161,7 @@ class _Parser:
 
     def series(self):
         left = self.unit()
-        while self.peek()[0] in ("word", "string", "(", "^") and self.peek()[1] not in ("OR", "AND", "NOT"):
+        while self.peek()[0] in ("word", "string", "(", "^", "{", "-") and self.peek()[1] not in ("OR", "AND", "NOT"):
             left = Op("and", left, self.unit())
         return left
 
@@ -158,15 +171,33 @@ class _Parser:
             tree = self.either()
             self.take(")")
             return tree
+        if self.peek()[0] in ("-", "{") or (self.peek()[0] in ("word", "string") and self.peek(1)[0] == ":"):
+            return self.in_columns()
         if self.peek()[0] == "^":
             self.at += 1
-        if self.peek()[0] == "word" and self.peek(1)[0] == ":":
-            self.at += 2
-            return self.unit()
+            return replace(self.phrase(), first=True)
         if self.peek() == ("word", "NEAR") and self.peek(1)[0] == "(":
             return self.near()
         return self.phrase()
 
+    def in_columns(self):
+        """`name : x`, `{a b} : x`, and with a minus before it, all other columns."""
+        but = self.peek()[0] == "-"
+        self.at += but
+        names = []
+        if self.peek()[0] == "{":
+            self.at += 1
+            while self.peek()[0] in ("word", "string"):
+                names.append(self.take(self.peek()[0]))
+            self.take("}")
+        else:
+            names.append(self.take("string" if self.peek()[0] == "string" else "word"))
+        self.take(":")
+        names = [x.lower() for x in names]
+        if unknown := [x for x in names if x not in self.columns]:
+            raise QuerySyntaxError(f"no such column: {unknown[0]}")
+        return within_columns(self.unit(), frozenset(c for c in self.columns if (c in names) != but))
+
     def near(self):
         self.at += 2
         found, distance = [], 10
@@ -196,9 +227,9 @@ class _Parser:
         return Phrase(tuple(words), star)
 
 
-def parse(text: str):
-    """The query's tree: phrases, prefixes, NEAR, AND, OR, NOT, parentheses; raises QuerySyntaxError."""
-    return _Parser(text).parse()
+def parse(text: str, columns: tuple[str, ...] = ("uuid", "session_id", "text")):
+    """The query's tree: phrases, prefixes, ^, column filters, NEAR, AND, OR, NOT, parentheses; raises QuerySyntaxError, also for a column that isn't one of `columns`."""
+    return _Parser(text, columns).parse()
 
 
 def safe_query(text: str, joiner: str = "and"):
@@ -213,24 +244,30 @@ def leaves(tree) -> list:
     return list(tree.phrases) if isinstance(tree, Near) else [tree]
 
 
-def _matches(tree, joined: Column) -> Column:
+def _matches(tree, texts: dict[str, Column]) -> Column:
     if isinstance(tree, Op):
-        left, right = _matches(tree.left, joined), _matches(tree.right, joined)
+        left, right = _matches(tree.left, texts), _matches(tree.right, texts)
         return left & ~right if tree.name == "not" else left & right if tree.name == "and" else left | right
     if isinstance(tree, Phrase) and not tree.words:
         return F.lit(False)
-    return joined.rlike(tree.pattern())
+    return functools.reduce(lambda a, b: a | b, (t.rlike(tree.pattern()) for t in _where(tree, texts)), F.lit(False))
+
+
+def _where(term, texts: dict[str, Column]) -> list[Column]:
+    """The token strings that a term may stand in; columns that hold no tokens aren't among them."""
+    return [t for c, t in texts.items() if term.columns is None or c.lower() in term.columns]
 
 
 def ranked(table: DataFrame, tree, *columns: str) -> DataFrame:
     """The rows of table that match, with `rank`: negated BM25, the lower the better."""
     terms = list(dict.fromkeys(x for x in leaves(tree) if x.words))
-    every = functools.reduce(F.concat, [tokens(c) for c in columns]) if len(columns) > 1 else tokens(columns[0])
-    rows = table.withColumn("__tokens", every).withColumn("__n", F.size("__tokens")).withColumn("__text", F.concat(F.lit(" "), F.array_join("__tokens", " "), F.lit(" "))).drop("__tokens")
+    texts = {c: F.col(f"__text{i}") for i, c in enumerate(columns)}
+    rows = table.withColumns({f"__tokens{i}": tokens(c) for i, c in enumerate(columns)}).withColumn("__n", functools.reduce(lambda a, b: a + b, (F.size(f"__tokens{i}") for i in range(len(columns)))))
+    rows = rows.withColumns({f"__text{i}": F.concat(F.lit(" "), F.array_join(f"__tokens{i}", " "), F.lit(" ")) for i in range(len(columns))}).drop(*(f"__tokens{i}" for i in range(len(columns))))
     for i, t in enumerate(terms):
-        rows = rows.withColumn(f"__f{i}", F.regexp_count("__text", F.lit(t.pattern())))
+        rows = rows.withColumn(f"__f{i}", functools.reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(t.pattern())) for x in _where(t, texts)), F.lit(0)))
     stats = rows.agg(F.count("*").alias("__rows"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))))
-    found = rows.where(_matches(tree, F.col("__text"))).join(F.broadcast(stats))  # stats is one row
+    found = rows.where(_matches(tree, texts)).join(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         f, d = F.col(f"__f{i}").cast("double"), F.col(f"__d{i}")

@@ -129,10 +129,11 @@ def f1(t):
     return t.raw("documents").select("doc_id", scalars.truncated("text", 100).alias("body"))
 
 
-@query("F7_timestamps", "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%gZ') AS zoned, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS bare FROM events")
+@query("F7_timestamps", "SELECT event_id, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%gZ') AS zoned, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS bare, strftime(ts, '%Y-%m-%dT%H:%M:%Sz') AS small, strftime(ts, '%Y-%m-%d %H:%M:%SZ') AS apart, strftime(ts, '%Y-%m-%dT%H:%M:00.500Z') AS brief, NULL::VARCHAR AS empty FROM events")
 def f7(t):
     bare = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return t.raw("events").select("event_id", scalars.canonical_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")).alias("zoned"), scalars.canonical_timestamp(bare).alias("bare"))
+    return t.raw("events").select("event_id", scalars.canonical_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")).alias("zoned"), scalars.canonical_timestamp(bare).alias("bare"), scalars.canonical_timestamp(F.concat(bare, F.lit("z"))).alias("small"),
+                                   scalars.canonical_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'Z'")).alias("apart"), scalars.canonical_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:00.5'+0000'")).alias("brief"), scalars.canonical_timestamp(F.lit("")).alias("empty"))
 
 
 @query("F16_token_folding", "SELECT uuid, CASE WHEN input_tokens IS NOT NULL OR output_tokens IS NOT NULL THEN coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END AS tokens FROM messages", ("messages",))

@@ -76,9 +76,9 @@ def a25(t):
     return t.messages.groupBy("session_id").agg(F.countDistinct("uuid").alias("n"), F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
 
 
-@query("O8_nulls_last_page", "SELECT uuid, timestamp FROM messages ORDER BY timestamp IS NULL, timestamp, uuid LIMIT 400 OFFSET 100", ("messages",))
+@query("O8_nulls_last_page", "SELECT uuid, timestamp FROM messages ORDER BY timestamp IS NULL, timestamp, uuid LIMIT 400 OFFSET 30", ("messages",))
 def o8(t):
-    return t.messages.orderBy(F.asc_nulls_last("timestamp"), "uuid").select("uuid", "timestamp").offset(100).limit(400)
+    return t.messages.orderBy(F.asc_nulls_last("timestamp"), "uuid").select("uuid", "timestamp").offset(30).limit(400)
 
 
 @query("O10_recent_hints", "SELECT jsonl_path, max(coalesce(ended_at, started_at)) AS at_ FROM sessions WHERE jsonl_path NOT LIKE '%marker%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 64", ("sessions",))
@@ -118,7 +118,16 @@ def f3(t):
 
 @query("F8_F9_slugs", "SELECT id, '-' || replace(ltrim(project_path, '/'), '/', '-') AS slug, '/' || replace(project, '-', '/') AS path FROM sessions", ("sessions",))
 def f8(t):
-    return t.sessions.select("id", finalize.slug_from_path("project_path").alias("slug"), finalize.path_from_slug("project").alias("path"))
+    return t.sessions.select("id", scalars.slug_from_path("project_path").alias("slug"), finalize.path_from_slug("project").alias("path"))
+
+
+@query("F10_normalized_cwd", """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN concat('/srv/p', conv_id, '/q/') WHEN 1 THEN '/' WHEN 2 THEN concat('/p', conv_id) WHEN 3 THEN NULL WHEN 4 THEN concat('/a b/', role) END AS path,
+    CASE turn % 6 WHEN 0 THEN concat('-srv-p', conv_id, '-q-') WHEN 1 THEN '-' WHEN 2 THEN concat('-p', conv_id) WHEN 3 THEN NULL WHEN 4 THEN concat('-a b-', role) END AS slug FROM conversations""")
+def f10(t):
+    """Dots, doubled slashes, parents beyond the root, relative and missing paths."""
+    n, role, turn = F.col("conv_id").cast("string"), F.col("role"), F.col("turn") % 6
+    given = F.when(turn == 0, F.concat(F.lit("/srv//"), role, F.lit("/../p"), n, F.lit("/./q/"))).when(turn == 1, F.concat(F.lit("/"), role, F.lit("/../../"))).when(turn == 2, F.concat(F.lit("//../p"), n)).when(turn == 3, F.concat(F.lit("./p"), n)).when(turn == 4, F.concat(F.lit("/a b/x/.././"), role))
+    return t.raw("conversations").select("conv_id", "turn", scalars.normalized_cwd(given).alias("path"), scalars.slug_from_path(given).alias("slug"))
 
 
 @query("F12_safe_query_tokens", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+')[1:12], ' ') AS terms FROM documents")
@@ -127,19 +136,13 @@ def f12(t):
     return t.raw("documents").select("doc_id", F.array_join(found, " ").alias("terms"))
 
 
-@query("F21_display", "SELECT event_id, CASE WHEN event_id >= 1000 THEN concat(format('{:.1f}', floor((event_id + 50) / 100) / 10), 'k') ELSE cast(event_id AS VARCHAR) END AS tokens, format('{:d}m {:d}s', (event_id * 1000 + 60000) // 60000, ((event_id * 1000 + 60000) // 1000) % 60) AS took FROM events WHERE event_id < 3000")
-def f21(t):
-    rows = t.raw("events").where("event_id < 3000")
-    return rows.select("event_id", scalars.shown_tokens("event_id").alias("tokens"), scalars.shown_duration(F.col("event_id") * 1000 + 60000).alias("took"))
-
-
 _N, _MS = "(event_id * 4001)", "(event_id * 7919)"
 
 
-@query("F21_display_all", f"""SELECT event_id, CASE WHEN {_N} >= 1000000 THEN concat(format('{{:.1f}}', floor(({_N} + 50000) / 100000) / 10), 'M') WHEN {_N} >= 1000 THEN concat(format('{{:.1f}}', floor(({_N} + 50) / 100) / 10), 'k') ELSE cast({_N} AS VARCHAR) END AS tokens,
+@query("F21_display", f"""SELECT event_id, CASE WHEN {_N} >= 1000000 THEN concat(format('{{:.1f}}', floor(({_N} + 50000) / 100000) / 10), 'M') WHEN {_N} >= 1000 THEN concat(format('{{:.1f}}', floor(({_N} + 50) / 100) / 10), 'k') ELSE cast({_N} AS VARCHAR) END AS tokens,
     CASE WHEN {_MS} >= 3600000 THEN format('{{:d}}h {{:d}}m', {_MS} // 3600000, ({_MS} // 60000) % 60) WHEN {_MS} >= 60000 THEN format('{{:d}}m {{:d}}s', {_MS} // 60000, ({_MS} // 1000) % 60) ELSE concat(format('{{:.1f}}', floor(({_MS} + 50) / 100) / 10), 's') END AS took FROM events""")
-def f21_all(t):
-    """Every event, spread over all branches; F21_display has to match SQL over 3,000 of them."""
+def f21(t):
+    """Every event, its number spread over all branches."""
     return t.raw("events").select("event_id", scalars.shown_tokens(F.col("event_id") * 4001).alias("tokens"), scalars.shown_duration(F.col("event_id") * 7919).alias("took"))
 
 

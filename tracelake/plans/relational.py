@@ -97,9 +97,9 @@ def p3(t):
     return t.sessions.where(p.is_titled() & p.catalogue_contains("SESSION 1", "title", "project")).select("id", "title")
 
 
-@query("P5_interval_overlap", "SELECT id FROM sessions WHERE started_at < '2024-01-03' AND coalesce(ended_at, started_at) >= '2024-01-02'", ("sessions",))
+@query("P5_interval_overlap", "SELECT id FROM sessions WHERE started_at < '2024-01-02' AND coalesce(ended_at, started_at) >= '2024-01-01T10'", ("sessions",))
 def p5(t):
-    return t.sessions.where(p.overlaps("started_at", "ended_at", "2024-01-02", "2024-01-03")).select("id")
+    return t.sessions.where(p.overlaps("started_at", "ended_at", "2024-01-01T10", "2024-01-02")).select("id")
 
 
 @query("P6_main_timeline", f"SELECT uuid, timestamp FROM messages WHERE (agent_id IS NULL OR agent_id = session_id) AND {_M}", ("messages",))

@@ -40,6 +40,13 @@ def x2p(t):
     return x.search(t.messages, t.sessions, '"of the" an*', limit=100_000_000).select("uuid")
 
 
+@query("X2_search_columns", """, toks AS (SELECT uuid, visibility, is_meta, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' '), ' ') AS t FROM messages)
+    SELECT uuid FROM toks WHERE (starts_with(t, ' the ') OR contains(t, ' die ')) AND coalesce(visibility, 'visible') = 'visible' AND coalesce(is_meta, 0) = 0""", ("messages",))
+def x2c(t):
+    """Column filters and beginnings: only `text` holds tokens, so what is asked of other columns finds nothing."""
+    return x.search(t.messages, t.sessions, '^the OR {text uuid} : die OR - text : the OR uuid : and', limit=100_000_000).select("uuid")
+
+
 _NEAR = """near AS (SELECT h.uuid AS hit, m.uuid, m.timestamp, m.ingest_seq, row_number() OVER (PARTITION BY h.uuid ORDER BY abs(epoch_us(cast(m.timestamp AS TIMESTAMP)) - epoch_us(cast(h.timestamp AS TIMESTAMP))) NULLS FIRST, m.ingest_seq) AS k
     FROM hits h JOIN messages m ON m.session_id = h.session_id AND m.uuid <> h.uuid WHERE coalesce(m.visibility, 'visible') = 'visible' AND coalesce(m.is_meta, 0) = 0)"""
 

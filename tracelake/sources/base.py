@@ -19,10 +19,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.functions import scalars
 from tracelake.functions.storage import written
 from tracelake.plans import schema
 
@@ -39,9 +40,23 @@ class Source:
 
     name: str
     pattern: str
-    unit_of: Callable[[str], str]
+    #: The first of these that finds something in a path names its unit by its group.
+    unit: tuple[str, ...]
     parse: Callable[[dict[str, bytes]], Iterator[Record]]
 
+    def unit_of(self, path: str) -> str:
+        return next((m[1] for pattern in self.unit if (m := re.search(pattern, path))), path)
+
+    def unit_column(self, path: Column) -> Column:
+        found = [F.when(path.rlike(pattern), F.regexp_extract(path, pattern, 1)) for pattern in self.unit]
+        return F.coalesce(*found, path)
+
+
+#: Units: a file's name without its endings, its folder, or the file itself.
+STEM = r"([^/]+?)(?:\.jsonl?(?:\.zstd?)?)?$"
+FOLDER = r"^(.*)/[^/]*$"
+FILE = r"^(.*)$"
+
 
 REGISTRY: dict[str, Source] = {}
 
@@ -59,11 +74,30 @@ def files(spark: SparkSession, root: str, *sources: Source) -> DataFrame:
     return found.where(F.col("path").rlike("|".join(f"(?:{s.pattern})" for s in sources))).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
-def changed_files(found: DataFrame, state: DataFrame) -> DataFrame:
-    """The files of units of which a file is new or has another time or size than index_state says."""
-    now = found.withColumn("mark", F.concat_ws(":", F.unix_millis("modified"), "size"))
-    known = state.select(F.col("jsonl_path").alias("known"), "cursor")
-    return now.join(known, now["path"] == known["known"], "left").where(~F.col("mark").eqNullSafe(F.col("cursor"))).select(found.columns)
+def owned(found: DataFrame, sources: Iterable[Source]) -> DataFrame:
+    """found with the columns source and unit: a row for each source that a file is of."""
+    path = F.col("path")
+    each = [F.when(path.rlike(s.pattern), F.struct(F.lit(s.name).alias("source"), s.unit_column(path).alias("unit"))) for s in sources]
+    return found.withColumn("__o", F.explode(F.array_compact(F.array(*each)))).select(*found.columns, "__o.source", "__o.unit")
+
+
+def changed_units(found: DataFrame, state: DataFrame, *sources: Source) -> DataFrame:
+    """(source, unit) of which a file is new, or has another time or size than index_state says, or is gone."""
+    marks = owned(found.select("path", F.concat_ws(":", F.unix_millis("modified"), "size").alias("mark")), sources)
+    known = owned(state.select(F.col("jsonl_path").alias("path"), "cursor"), sources)
+    both = marks.join(known, ["path", "source", "unit"], "full")
+    return both.where(~F.col("mark").eqNullSafe(F.col("cursor"))).select("source", "unit").distinct()
+
+
+def changed_files(found: DataFrame, state: DataFrame, *sources: Source) -> DataFrame:
+    """All files of the units of which a file has changed: a unit is parsed whole or not at all."""
+    sources = sources or tuple(REGISTRY.values())
+    return files_of(found, changed_units(found, state, *sources), sources)
+
+
+def files_of(found: DataFrame, units: DataFrame, sources: Iterable[Source]) -> DataFrame:
+    paths = owned(found.select("path"), sources).join(units, ["source", "unit"], "left_semi").select("path").distinct()
+    return found.join(paths, "path", "left_semi").select(*found.columns)
 
 
 def cursors(found: DataFrame) -> DataFrame:
@@ -76,10 +110,6 @@ def records(found: DataFrame, *sources: Source) -> DataFrame:
     """RECORDS of all units of the files, each unit parsed once, in one task, whatever source it is of."""
     by_name = {s.name: s for s in sources}
 
-    @F.udf("array<struct<source:string,unit:string>>")
-    def owners(path: str):
-        return [(s.name, s.unit_of(path)) for s in by_name.values() if re.search(s.pattern, path)]
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = {p: bytes(c) for p, c in sorted(zip(group["path"], group["content"], strict=True))}
         name, key = group["source"].iloc[0], group["unit"].iloc[0]
@@ -87,12 +117,28 @@ def records(found: DataFrame, *sources: Source) -> DataFrame:
         return pd.DataFrame(out, columns=["source", "unit", "seq", "kind", "session_id", "body"])
 
     # units are dealt out by path and source alone; contents follow once
-    return found.select(F.explode(owners("path")).alias("o"), "path", "content").select("o.source", "o.unit", "path", "content").groupBy("source", "unit").applyInPandas(run, RECORDS)
+    return owned(found.select("path", "content"), sources).groupBy("source", "unit").applyInPandas(run, RECORDS)
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """found with `seq` counted through all records, units in the order of (source, unit); found must be stored.
+
+    Units are sorted by range, numbered inside each range, and ranges are added up: no window
+    holds more than a range's units.
+    """
+    units = found.groupBy("source", "unit").agg((F.max("seq") + 1).alias("n"))
+    units = written(units.repartitionByRange("source", "unit").withColumn("p", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = units.groupBy("p").agg(F.sum("n").alias("n")).select("p", F.coalesce(F.sum("n").over(before.orderBy("p")), F.lit(0)).alias("base"))
+    start = F.coalesce(F.sum("n").over(before.partitionBy("p").orderBy("source", "unit")), F.lit(0))
+    # as many rows as there are ranges
+    starts = units.withColumn("start", start).join(F.broadcast(ranges), "p").select("source", "unit", (F.col("start") + F.col("base")).alias("start"))
+    return found.join(starts, ["source", "unit"]).withColumn("seq", F.col("start") + F.col("seq")).drop("start")
 
 
 def tables_of(found: DataFrame) -> dict[str, DataFrame]:
-    """Records as DataFrames by kind, with `seq` made unique over units by a hash of the unit."""
-    seq = (F.pmod(F.xxhash64("source", "unit"), F.lit(1 << 20)) * F.lit(1 << 32) + F.col("seq")).alias("seq")
+    """Numbered records as DataFrames by kind."""
+    seq = F.col("seq")
     out = {}
     for name in (n for n in schema.TABLES if n not in ("index_state", "memories")):
         fields = [T.StructField(c[0], c[1]) for c in schema.COLUMNS[name]]
@@ -110,14 +156,15 @@ def ingest(spark: SparkSession, root: str, names: Iterable[str] | None = None, s
     """The records by kind of the given sources below root; with a state, only units whose files changed."""
     import tracelake.sources  # noqa: F401  registers all sources
 
-    found = files(spark, root, *(REGISTRY[n] for n in names or sorted(REGISTRY)))
-    return parsed(found if state is None else changed_files(found, state), names)
+    sources = [REGISTRY[n] for n in names or sorted(REGISTRY)]
+    found = files(spark, root, *sources)
+    return parsed(found if state is None else changed_files(found, state, *sources), names)
 
 
 def parsed(found: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """The records by kind of files (path, modified, size, content). They are parsed once and written; tables read them back."""
     sources = [REGISTRY[n] for n in names or sorted(REGISTRY)]
-    return {**tables_of(written(records(found, *sources))), "cursors": cursors(found)}
+    return {**tables_of(written(numbered(written(records(found, *sources))))), "cursors": cursors(found)}
 
 
 # ---- what parsers share ----
@@ -281,7 +328,7 @@ class Span:
         row = {"id": id, "started_at": self.low, "ended_at": self.high, "message_count": self.n, "count_mode": "total", "source": source}
         row.update(more)
         if row.get("project_path") and not row.get("project"):
-            row["project"] = re.sub(r"[^A-Za-z0-9]", "-", row["project_path"])
+            row["project"] = scalars.slug_of(row["project_path"])
         return "sessions", row
 
 

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from tracelake.sources.base import Record, Source, Span, SqliteFile, digest, iso, message, register, text_of, tool_call, tool_result, total
+from tracelake.sources.base import FILE, Record, Source, Span, SqliteFile, digest, iso, message, register, text_of, tool_call, tool_result, total
 
 
 def _json(value):
@@ -28,10 +28,6 @@ def _each(parse):
     return run
 
 
-def _path(path: str) -> str:
-    return path
-
-
 # ---- devin: a forest of nodes per session; live chains run from the heads ----
 
 
@@ -83,7 +79,7 @@ def _devin(path: str, db: SqliteFile) -> Iterator[Record]:
         yield span.session(sid, "devin", title=s.get("title"), project_path=s.get("working_directory"), jsonl_path=path)
 
 
-register(Source("devin", r"/devin/.*\.(db|sqlite)$", _path, _each(_devin)))
+register(Source("devin", r"/devin/.*\.(db|sqlite)$", (FILE,), _each(_devin)))
 
 
 # ---- hermes: state.db per profile ----
@@ -126,7 +122,7 @@ def _hermes(path: str, db: SqliteFile) -> Iterator[Record]:
         yield span.session(f"hermes:{s['id']}", "hermes", title=s.get("title"), project_path=s.get("cwd"), git_branch=s.get("git_branch"), jsonl_path=path, started_by="agent" if child else None)
 
 
-register(Source("hermes", r"/hermes/.*state\.db$", _path, _each(_hermes)))
+register(Source("hermes", r"/hermes/.*state\.db$", (FILE,), _each(_hermes)))
 
 
 # ---- opencode: V1 session/message/part, V2 session_v2/session_message ----
@@ -233,7 +229,7 @@ def _opencode_v2(path: str, db: SqliteFile) -> Iterator[Record]:
         yield from _opencode_session(path, s, span, {x["id"] for x in every})
 
 
-register(Source("opencode", r"/opencode/.*\.(db|sqlite)$", _path, _each(_opencode)))
+register(Source("opencode", r"/opencode/.*\.(db|sqlite)$", (FILE,), _each(_opencode)))
 
 
 # ---- zcode ----
@@ -281,7 +277,7 @@ def _zcode(path: str, db: SqliteFile) -> Iterator[Record]:
         yield span.session(sid, "zcode", title=s.get("title"), project_path=s.get("directory"), version=s.get("version"), jsonl_path=path, started_by="agent" if child else None)
 
 
-register(Source("zcode", r"/zcode/.*\.(db|sqlite)$", _path, _each(_zcode)))
+register(Source("zcode", r"/zcode/.*\.(db|sqlite)$", (FILE,), _each(_zcode)))
 
 
 # ---- copilot chronicles: a row per turn ----
@@ -305,7 +301,7 @@ def _chronicle(path: str, db: SqliteFile) -> Iterator[Record]:
         yield span.session(sid, "copilot", title=s.get("summary"), project_path=s.get("cwd"), git_branch=s.get("branch"), jsonl_path=path)
 
 
-register(Source("copilot-chronicle", r"/copilot/.*\.(db|sqlite)$", _path, _each(_chronicle)))
+register(Source("copilot-chronicle", r"/copilot/.*\.(db|sqlite)$", (FILE,), _each(_chronicle)))
 
 
 def _kiro_store(path: str, db: SqliteFile) -> Iterator[Record]:
@@ -343,4 +339,4 @@ def _kiro_store(path: str, db: SqliteFile) -> Iterator[Record]:
         yield span.session(sid, "kiro", project_path=c["key"] if re.match("/", c["key"]) else None, jsonl_path=path)
 
 
-register(Source("kiro-store", r"/\.?kiro/.*\.(db|sqlite3?)$", _path, _each(_kiro_store)))
+register(Source("kiro-store", r"/\.?kiro/.*\.(db|sqlite3?)$", (FILE,), _each(_kiro_store)))

@@ -3,8 +3,9 @@
 The file source finds new files; a batch's units are parsed, its records merged, and the
 result is published under the batch's id, so a batch that is run again after a failure
 changes nothing. Retractions are records of the batch (deletes as barriers), which an
-append-only sink couldn't express. A file that grows is seen by `reconcile`, a bounded
-re-read of the units whose time or size has changed since the stored cursor.
+append-only sink couldn't express. A batch's files bring all files of their units with them,
+as a unit is parsed whole. A file that grows is seen by `reconcile`, a bounded re-read of
+the units whose time or size has changed since the stored cursor.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 import tracelake.sources  # noqa: F401  registers the sources
+from tracelake.functions.storage import written
 from tracelake.operators import merge
 from tracelake.sources import base
 
@@ -33,17 +35,29 @@ def ingest(spark: SparkSession, root: str, store: merge.Store, checkpoint: str,
     """Starts the query; with trigger={'availableNow': True} it ends after what is there now."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        found = batch.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-        merge_files(store, found, f"stream-{number}")
+        sources = list(base.REGISTRY.values())
+        units = written(base.owned(batch.select("path"), sources).select("source", "unit").distinct())
+        merge_files(store, base.files_of(base.files(spark, root, *sources), units, sources), f"stream-{number}")
 
     return stream_files(spark, root).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def reconcile(spark: SparkSession, root: str, store: merge.Store, batch: str) -> int:
-    """Merges the units of files that are new or changed since their cursor; a number of the current version if none is."""
-    state = store.tables()["index_state"]
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-    changed = base.changed_files(found, state)
-    if changed.isEmpty():
+    """Merges the units of which a file is new, changed or gone since its cursor; a number of the current version if none is.
+
+    Units are read whole, so what a session had before and the new reading doesn't have goes:
+    the messages cut off from a file, and a session whose files are gone.
+    """
+    sources = list(base.REGISTRY.values())
+    tables = store.tables()
+    state = tables["index_state"]
+    found = base.files(spark, root, *sources)
+    units = written(base.changed_units(found, state, *sources))
+    if units.isEmpty():
         return (store.version() or (0, ""))[0]
-    return merge_files(store, changed, batch)
+    records = base.parsed(base.files_of(found, units, sources))
+    held = base.owned(state.select(F.col("jsonl_path").alias("path")), sources).join(units, ["source", "unit"], "left_semi").select("path").distinct()
+    told = tables["sessions"].join(held, F.col("jsonl_path") == F.col("path"), "left_semi").select(F.col("id").alias("session_id"))
+    again = records["sessions"].select(F.col("id").alias("session_id")).unionByName(told).unionByName(records["messages"].select("session_id"))
+    gone = held.join(found.select("path"), "path", "left_anti").select(F.col("path").alias("jsonl_path"))
+    return store.merge({**records, "again": again, "forgotten": gone}, batch)
