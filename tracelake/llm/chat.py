@@ -190,7 +190,13 @@ def digests(turns: DataFrame) -> DataFrame:
             out.append(now.row())
             yield _batch(out, batch.schema.field(0).type, schema)
 
-    spread = turns.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    # equal turns go by role and text as they were, not as they are shown
+    start = F.col("loss_start").cast("int")
+    shown_role = F.col("formatted").substr(F.lit(len(OPEN) + 1), start - (len(OPEN) + 1))
+    shown_text = F.col("formatted").substr(start + 1, F.char_length("formatted") - start - (len(CLOSE) + 1))
+    role, text = (F.regexp_replace(c, r"<\|(\|+)im_", "<$1im_") for c in (shown_role, shown_text))
+    role = F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+    spread = turns.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", role, text)
     return spread.select("conv_id", "formatted", "loss_start", "loss_stop").mapInArrow(run, schema)
 
 

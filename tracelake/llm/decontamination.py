@@ -8,10 +8,12 @@ terms from the rarest to the most frequent one and intersects their position lis
 shifted by the term's offset in the phrase; what is left are exact occurrences. Documents
 never leave their segment, so no group of rows ever meets in one task.
 
-The test set is broadcast in blocks of at most BLOCK_WORDS words, each counted before it is
-sent: a larger test set makes more blocks, not a larger one.
+The test set is searched in blocks of at most BLOCK_WORDS words (a longer item is a block of
+its own): one block at a time is broadcast and removed again, a larger test set makes more
+passes over the index. What the driver holds of the whole test set is its distinct terms, 16
+bytes each, which also say what the index has to hold.
 
-Null and empty texts have no words and hit nothing; extra columns are ignored, repeated
+Null and empty texts have no words and hit nothing; items without an id count as the one item whose id is empty; extra columns are ignored, repeated
 doc_ids are separate rows, and an empty test set or table gives rows without hits or no rows.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .shared import bound_batches, stored
+from .signing import chunk_number
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -40,7 +43,7 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[st
         hashes, counts = tk.word_hashes(pa.array(texts, pa.large_string()), tk.WORD_BYTE)
         return list(ids), hashes, counts
 
-    for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").toLocalIterator():
+    for row in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).toLocalIterator():
         words = len(row.t or "") // 2 + 1
         if ids and size + words > BLOCK_WORDS:
             yield block()
@@ -79,14 +82,14 @@ class Phrases:
 
 
 def build_index(docs: DataFrame, terms, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per segment: doc_ids, words per document, and the positions of each of `terms` (a broadcast, sorted)."""
+    """One row per segment: its number, doc_ids, words per document, and the positions of each of `terms` (a broadcast, sorted)."""
     schema = T.StructType([
-        T.StructField("doc_ids", T.ArrayType(docs.schema[doc_id].dataType)),
+        T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema[doc_id].dataType)),
         *(T.StructField(x, T.BinaryType()) for x in ("doc_words", "terms", "starts", "positions")),
     ])
 
     def segments(batches):
-        vocabulary = terms.value
+        vocabulary, number_of = terms.value, 0
         sieve = np.zeros(1 << 20, bool)
         sieve[vocabulary & tk.U64((1 << 20) - 1)] = True
         for batch in batches:
@@ -102,7 +105,8 @@ def build_index(docs: DataFrame, terms, doc_id: str = "doc_id", text: str = "tex
                 starts = np.flatnonzero(np.diff(number, prepend=-1))
                 row = [counts.astype(np.int32), vocabulary[number[starts]], starts.astype(np.int32), at[order].astype(np.int32)]
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([ids, *(tk.binary([x]) for x in row)], ["doc_ids", "doc_words", "terms", "starts", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk_number(number_of)], pa.int64()), ids, *(tk.binary([x]) for x in row)], schema.names)
+                number_of += 1
 
     return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(segments, schema)
 
@@ -183,16 +187,51 @@ class Segment:
         return np.searchsorted(self.first, position, side="right") - 1
 
 
-def _ready(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str, item_id: str, item_text: str):
+def _index(docs: DataFrame, blocks, doc_id: str, text: str) -> tuple[DataFrame, dict[int, int], int]:
+    """The stored index of the blocks' terms, the terms' frequencies, and the number of blocks."""
     bound_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    blocks = [Phrases(*b, window) for b in _blocks(items, item_id, item_text)]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.terms for b in blocks)]))
-    index = stored(build_index(docs, sc.broadcast(terms), doc_id, text))
+    terms, number = np.zeros(0, np.uint64), 0
+    for _, hashes, _ in blocks():
+        terms, number = np.union1d(terms, hashes), number + 1
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    index = stored(build_index(docs, shared, doc_id, text))
+    shared.destroy()
     # as many rows as the test set has terms
     frequency = {r.term & tk._MASK: r.n for r in term_frequencies(index).collect()} if len(terms) else {}
-    counts = [np.array([frequency.get(int(t), 0) for t in b.terms], np.int64) for b in blocks]
-    return index, [sc.broadcast(b.ranked(n)) for b, n in zip(blocks, counts, strict=True)]
+    return index, frequency, number
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, names: tuple[str, str, str, str], search, fields: list[T.StructField]) -> tuple[DataFrame, int]:
+    """The rows (segment, row, doc_id and fields) that `search` tells of each segment and block, and the number of blocks.
+
+    search(doc ids, segment, block) gives arrays: of rows, and of the fields.
+    """
+    doc_id, text, item_id, item_text = names
+    sc = docs.sparkSession.sparkContext
+    blocks = lambda: _blocks(items, item_id, item_text)
+    index, frequency, number = _index(docs, blocks, doc_id, text)
+    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("doc_id", docs.schema[doc_id].dataType), *fields])
+
+    def over(shared):
+        def run(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, segment = _segment(batch, k)
+                    for row, *columns in search(ids, segment, shared.value):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(row)), pa.array(row, pa.int32()), ids.take(pa.array(row)), *columns], schema.names)
+
+        return index.mapInArrow(run, schema)
+
+    found = None
+    for block in blocks() if number else [([], np.zeros(0, np.uint64), np.zeros(0, np.int64))]:
+        phrases = Phrases(*block, window)
+        shared = sc.broadcast(phrases.ranked(np.array([frequency.get(int(t), 0) for t in phrases.terms], np.int64)))
+        part = over(shared)
+        if number > 1:
+            part = stored(part)
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found, number
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -201,109 +240,103 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id:
     A window is `window` consecutive words of an item; an item of fewer words, but not
     none, is one window. One row per row of docs.
     """
-    index, blocks = _ready(docs, items, window, doc_id, text, item_id, item_text)
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema[doc_id].dataType),
+    fields = [
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
         T.StructField("items", T.ArrayType(T.StringType())),
-    ])
-
-    def search(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids = batch.column(0).slice(k, 1).flatten()
-                segment = Segment(*(batch.column(i)[k].as_py() for i in range(1, 5)))
-                n = len(ids)
-                change = np.zeros(int(segment.first[-1]) + 1, np.int64)
-                names: dict[int, set] = {}
-                for shared in blocks:
-                    block = shared.value
-                    owners = np.argsort(block.group, kind="stable")
-                    bounds = np.searchsorted(block.group[owners], np.arange(len(block.rows) + 1))
-                    for w, found in segment.phrases(block):
-                        np.add.at(change, found, 1)
-                        np.add.at(change, found + int((block.rows[w] >= 0).sum()), -1)
-                        own = set(block.ids[block.item[owners[bounds[w] : bounds[w + 1]]]])
-                        for d in np.unique(segment.document(found)).tolist():
-                            names.setdefault(d, set()).update(own)
-                starts, ends, counts = tk.runs(np.cumsum(change)[:-1] > 0, segment.first)
-                base = np.repeat(segment.first[:-1], counts)
-                spans = pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(ends - base, pa.int64())], ["start", "stop"])
-                yield pa.RecordBatch.from_arrays([
-                    ids,
-                    pa.array(np.diff(segment.first), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(tk.starts_of(counts), pa.int32()), spans),
-                    pa.array([sorted(names.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                ], ["doc_id", "n_words", "spans", "items"])
-
-    return index.mapInArrow(search, schema)
+    ]
+
+    def search(ids, segment, block):
+        n = len(ids)
+        change = np.zeros(int(segment.first[-1]) + 1, np.int64)
+        names: dict[int, set] = {}
+        owners = np.argsort(block.group, kind="stable")
+        bounds = np.searchsorted(block.group[owners], np.arange(len(block.rows) + 1))
+        for w, found in segment.phrases(block):
+            np.add.at(change, found, 1)
+            np.add.at(change, found + int((block.rows[w] >= 0).sum()), -1)
+            own = set(block.ids[block.item[owners[bounds[w] : bounds[w + 1]]]])
+            for d in np.unique(segment.document(found)).tolist():
+                names.setdefault(d, set()).update(own)
+        starts, ends, counts = tk.runs(np.cumsum(change)[:-1] > 0, segment.first)
+        base = np.repeat(segment.first[:-1], counts)
+        spans = pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(ends - base, pa.int64())], ["start", "stop"])
+        yield np.arange(n), pa.array(np.diff(segment.first), pa.int64()), pa.ListArray.from_arrays(pa.array(tk.starts_of(counts), pa.int32()), spans), pa.array([sorted(names.get(d, ())) for d in range(n)], pa.list_(pa.string()))
+
+    found, blocks = _searched(docs, items, window, (doc_id, text, item_id, item_text), search, fields)
+    if blocks > 1:
+        every = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = every.withColumn("spans", _joined("spans"))
+    return found.select("doc_id", "n_words", "spans", "items")
+
+
+def _joined(spans: str):
+    """Sorted ranges, those that meet made one."""
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, none, step)
 
 
 def proximity_hits(docs: DataFrame, items: DataFrame, slop: int = 20, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, position): words that are the rarest term of a window of the item and have each other term of the window at most `slop` words away."""
-    index, blocks = _ready(docs, items, window, doc_id, text, item_id, item_text)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType())])
 
-    def search(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, segment = _segment(batch, k)
-                for item, found in _near_items(segment, blocks, slop):
-                    doc = segment.document(found)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array([item] * len(found)), pa.array(found - segment.first[doc], pa.int64())], ["doc_id", "item_id", "position"])
+    def search(ids, segment, block):
+        for item, found in _near_items(segment, block, slop):
+            doc = segment.document(found)
+            yield doc, pa.array([item] * len(found)), pa.array(found - segment.first[doc], pa.int64())
 
-    return index.mapInArrow(search, schema)
+    fields = [T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType())]
+    return _searched(docs, items, window, (doc_id, text, item_id, item_text), search, fields)[0].select("doc_id", "item_id", "position")
 
 
 def proximity_digests(docs: DataFrame, items: DataFrame, slop: int = 20, window: int = WINDOW) -> DataFrame:
     """op10's proximity half: (doc_id, n_near, n_near_items, near_items_sha256) of each row: positions of hits, and the items that they are of."""
-    index, blocks = _ready(docs, items, window, "doc_id", "text", "item_id", "text")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_near", T.LongType()), T.StructField("near", T.ArrayType(T.StringType()))])
 
-    def search(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, segment = _segment(batch, k)
-                hit = np.zeros(int(segment.first[-1]) + 1, bool)
-                names: dict[int, set] = {}
-                for item, found in _near_items(segment, blocks, slop):
-                    hit[found] = True
-                    for d in np.unique(segment.document(found)).tolist():
-                        names.setdefault(d, set()).add(item)
-                n = np.diff(tk.starts_of(hit[:-1].astype(np.int64))[segment.first])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array([sorted(names.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))], ["doc_id", "n_near", "near"])
+    def search(ids, segment, block):
+        hit = np.zeros(int(segment.first[-1]) + 1, bool)
+        names: dict[int, set] = {}
+        for item, found in _near_items(segment, block, slop):
+            hit[found] = True
+            for d in np.unique(segment.document(found)).tolist():
+                names.setdefault(d, set()).add(item)
+        at = np.flatnonzero(hit[:-1])
+        cut = np.searchsorted(at, segment.first)
+        yield np.arange(len(ids)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int64())), pa.array([sorted(names.get(d, ())) for d in range(len(ids))], pa.list_(pa.string()))
 
-    found = index.mapInArrow(search, schema)
-    return found.select("doc_id", "n_near", F.size("near").cast("long").alias("n_near_items"), F.sha2(F.array_join("near", ","), 256).alias("near_items_sha256"))
+    fields = [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.StringType()))]
+    found, blocks = _searched(docs, items, window, ("doc_id", "text", "item_id", "text"), search, fields)
+    if blocks > 1:
+        found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    return found.select("doc_id", F.size("at").cast("long").alias("n_near"), F.size("near").cast("long").alias("n_near_items"), F.sha2(F.array_join("near", ","), 256).alias("near_items_sha256"))
 
 
 def _segment(batch: pa.RecordBatch, k: int) -> tuple[pa.Array, Segment]:
-    return batch.column(0).slice(k, 1).flatten(), Segment(*(batch.column(i)[k].as_py() for i in range(1, 5)))
+    return batch.column(1).slice(k, 1).flatten(), Segment(*(batch.column(i)[k].as_py() for i in range(2, 6)))
 
 
-def _near_items(segment: Segment, blocks: list, slop: int) -> Iterator[tuple[str, np.ndarray]]:
+def _near_items(segment: Segment, block: Phrases, slop: int) -> Iterator[tuple[str, np.ndarray]]:
     """(item id, positions of its windows' hits, each once)."""
-    for shared in blocks:
-        block = shared.value
-        if not len(block.rows):
-            continue
-        begin, end = segment.lists(block.terms)
-        held = np.append(end > begin, True)  # the last cell answers for -1
-        found = {}
-        for w in np.flatnonzero(held[block.rows].all(axis=1)).tolist():
-            live = int((block.rows[w] >= 0).sum())
-            here = segment.near(block.rows[w], block.order[w][:live], begin, end, slop)
-            if len(here):
-                found[w] = here
-        if not found:
-            continue
-        own: dict[int, list[np.ndarray]] = {}
-        for w, i in zip(block.group.tolist(), block.item.tolist(), strict=True):
-            if w in found:
-                own.setdefault(i, []).append(found[w])
-        for i, parts in own.items():
-            yield block.ids[i], np.unique(np.concatenate(parts))
+    if not len(block.rows):
+        return
+    begin, end = segment.lists(block.terms)
+    held = np.append(end > begin, True)  # the last cell answers for -1
+    found = {}
+    for w in np.flatnonzero(held[block.rows].all(axis=1)).tolist():
+        live = int((block.rows[w] >= 0).sum())
+        here = segment.near(block.rows[w], block.order[w][:live], begin, end, slop)
+        if len(here):
+            found[w] = here
+    own: dict[int, list[np.ndarray]] = {}
+    for w, i in zip(block.group.tolist(), block.item.tolist(), strict=True) if found else ():
+        if w in found:
+            own.setdefault(i, []).append(found[w])
+    for i, parts in own.items():
+        yield block.ids[i], np.unique(np.concatenate(parts))
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -117,11 +117,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(summed(rows, count, FEATURES + 1))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score; the other columns pass through."""
-    if "lang_pred" in docs.columns or "score" in docs.columns:
-        docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang_pred and score, or what they are to be called; columns of docs by those names are replaced, all others pass through."""
+    docs = docs.drop(*{lang_pred, score} - {text})
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
@@ -129,8 +128,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             for part in tk.chunks(batch, text):
-                names, score = m.predict(part.column(place))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], schema.names)
+                names, likely = m.predict(part.column(place))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(likely)], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import BROADCAST_ROWS, bound_batches, discard, if_small, partitions, stored, written
+from .shared import BROADCAST_ROWS, bound_batches, discard, if_small, partitions, stored, unused, written
 from .signing import ROWS, chunk_number, packed_rows, told_rows
 
 EDITS = 2
@@ -316,12 +316,16 @@ def _joined(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFr
     size = drops.agg(F.count("*"), F.sum(F.size("lines"))).first()
     if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 4 * BROADCAST_ROWS:
         drops = F.broadcast(drops)
-    names = drops.select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
-    return docs.join(names, docs[doc_id].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[doc_id], docs[text]) == F.col("__rk")), "left").drop("__d", "__rk")
+    d, rk, lines = unused(docs, "__d", "__rk", "__lines")
+    names = drops.select(F.col("d").alias(d), F.col("rk").alias(rk), F.col("lines").alias(lines))
+    return docs.join(names, docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(docs[doc_id], docs[text]) == F.col(rk)), "left").drop(d, rk)
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", exact_short: bool = False) -> DataFrame:
-    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the non-blank lines that stay in a document that lost any, null in others."""
+    """docs with the lines that stay, and the columns n_lines, n_dropped and n_left: the non-blank lines that stay in a document that lost any, null in others.
+
+    Columns of docs by these three names are replaced, all others pass through.
+    """
     drops = stored(dropped_lines(docs, edits, least, doc_id, text, exact_short))
     joined = _joined(docs, drops, doc_id, text)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_left")]
@@ -348,7 +352,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, do
                 arrays = [fresh if i == place else part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(dropped), pa.array(left, pa.int64())], schema.names)
 
-    return joined.select(*columns, "__lines").mapInArrow(rewrite, schema)
+    return joined.select(*columns, joined.columns[-1]).mapInArrow(rewrite, schema)
 
 
 def digests(docs: DataFrame, exact_short: bool = False) -> DataFrame:

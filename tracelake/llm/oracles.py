@@ -20,7 +20,7 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(t[p:p + n - 1], ' ') AS k FRO
 dw AS (SELECT doc_id, p, n, array_to_string(t[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(t) >= n)),
 h AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.n = iw.n),
 hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM h) GROUP BY 1),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, coalesce(cast(item_id AS VARCHAR), '') AS item FROM h) GROUP BY 1)
 SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """

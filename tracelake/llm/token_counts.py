@@ -7,11 +7,11 @@ version. A batch of changes is reduced to signed sums per key before anything is
     delete   -1 document   -n_tokens
     revise    0 documents  +n_tokens - old_tokens
 
-and committed by renaming its finished folder to one named after the batch id. A batch that
-is delivered again finds that folder and changes nothing; a run that dies before the rename
-leaves the totals as they were. Totals are the sum of the last snapshot and of the batches
+and committed by a file named after the batch id, which one writer alone can make and which
+says where the sums are. A batch that is delivered again, or by two writers at once, finds
+that file and changes nothing; a run that dies before leaves the totals as they were. Totals are the sum of the last snapshot and of the batches
 that it doesn't cover; `compact` writes a new snapshot, committed in the same way, and keeps
-the batch folders' names, so that late repeats stay without effect.
+the batches' files, so that late repeats stay without effect.
 
 Null sources, languages and versions are keys of their own; null counts are 0. Keys whose
 documents and tokens are all 0 are left out of the totals.
@@ -25,7 +25,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from tracelake.functions.storage import filesystem, names_in, put_once, text_at
+
+from .shared import kept_until_exit, shared_dir, stored
 
 KEY = ("source", "lang", "tokenizer")
 CHANGES = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -51,26 +53,22 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._at, self._fs = filesystem(spark, self.path)
 
     def _names(self, folder: str) -> list[str]:
-        at = self._at(f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return names_in(self.spark, f"{self.path}/{folder}")
 
     def _commit(self, df: DataFrame, folder: str, name: str) -> bool:
-        target = self._at(f"{self.path}/{folder}/{name}")
-        if self._fs.exists(target):
-            return False
-        made = f"{self.path}/pending/{uuid.uuid4().hex}"
-        df.write.parquet(made)
-        self._fs.mkdirs(target.getParent())
-        # a rename into an existing folder would nest: whoever comes second finds its name taken
-        if self._fs.exists(target) or not self._fs.rename(self._at(made), target):
-            self._fs.delete(self._at(made), True)
-            return False
-        return True
+        """Writes rows to a folder of their own and names it in the file of the commit, which one writer alone can make."""
+        made = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/rows/{made}")
+        if put_once(self.spark, f"{self.path}/{folder}/{name}", made):
+            return True
+        self._fs.delete(self._at(f"{self.path}/rows/{made}"), True)
+        return False
+
+    def _rows(self, folder: str, name: str) -> str:
+        return f"{self.path}/rows/{text_at(self.spark, f'{self.path}/{folder}/{name}')}"
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commits a batch of changes; False if a batch of this id has been committed before."""
@@ -91,12 +89,12 @@ class TokenRollup:
         snapshots = self._names("snapshots")
         parts, rest = [], batches
         if snapshots:
-            last = self.spark.read.parquet(f"{self.path}/snapshots/{snapshots[-1]}")
+            last = self.spark.read.parquet(self._rows("snapshots", snapshots[-1]))
             known = {r.batch for r in last.where("batch is not null").select("batch").collect()}
             rest = [b for b in batches if b not in known]
             parts.append(last.where("batch is null").drop("batch"))
         if rest:
-            parts.append(self.spark.read.schema(CHANGES).parquet(*(f"{self.path}/batches/{b}" for b in rest)))
+            parts.append(self.spark.read.schema(CHANGES).parquet(*(self._rows("batches", b) for b in rest)))
         rows = self.spark.createDataFrame([], CHANGES)
         for p in parts:
             rows = rows.unionByName(p)
@@ -122,13 +120,14 @@ def history(docs: DataFrame) -> DataFrame:
     def changes(rows: DataFrame, op: str, tokenizer: str, n: str, old: Column | None = None) -> DataFrame:
         return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.lit(0) if old is None else old).cast("long").alias("old_tokens"))
 
-    rollup = TokenRollup(spark, shared_dir(spark))
+    rollup = TokenRollup(spark, kept_until_exit(spark, shared_dir(spark)))
     for _ in range(2):
         rollup.apply("load", changes(counted, "insert", "words-1", "one"))
     rollup.apply("second tokenizer", changes(counted, "insert", "pieces-2", "two"))
     rollup.compact()
     rollup.apply("first lines", changes(counted, "revise", "words-1", "less", F.col("one")))
-    first = counted.groupBy("same").agg(F.min("doc_id").alias("first")).where("same is not null")
+    # lower() leaves a digest as it is; written so, both sides of the join are plain shuffles, of which adaptive execution splits the copies of one text
+    first = counted.groupBy("same").agg(F.min("doc_id").alias("first")).where("same is not null").select(F.lower("same").alias("same"), "first")
     copies = counted.join(first, "same").where("doc_id > first")
     rollup.apply("copies", changes(copies, "delete", "words-1", "less").unionByName(changes(copies, "delete", "pieces-2", "two")))
     return rollup.totals()
