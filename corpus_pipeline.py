@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontamination, language_id, line_dedup, ngram_join
-from tracelake.llm.shared import discard, if_small, kept_until_exit, shared_dir, stored, written
+from tracelake.llm.shared import discard, if_small, kept_until_exit, shared_dir, stored, unused, written
 
 #: A prediction below this probability is a rejection, as `und` is.
 LANGUAGE_SCORE = 0.5
@@ -31,7 +31,8 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or without a likely language go."""
     model = language_id.fit(language_id.learnable(docs))
-    kept = language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    lang, score = unused(docs, "lang_pred", "score")
+    kept = language_id.predict(docs, model, lang_pred=lang, score=score).where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE))
     return kept.select(*docs.columns)
 
 
