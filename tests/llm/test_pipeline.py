@@ -4,7 +4,8 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm import brute
-from tracelake.llm import bpe, language_id, line_dedup
+from tests.llm.test_short_lines import deduplicated
+from tracelake.llm import bpe, language_id
 
 
 def test_stages_like_brute_force(spark, sf):
@@ -24,8 +25,8 @@ def test_stages_like_brute_force(spark, sf):
             assert {7001, 7002} <= rejected and len(rejected) < 10
             expected = [r for r in before if r[0] not in rejected]
         elif name == "line dedup":
-            texts = brute.line_dedup([r[:2] for r in before], line_dedup.EDITS, line_dedup.MIN_CHARS, line_dedup.within)
-            expected = [(r[0], t, *r[2:4], len(t)) for r, t in zip(before, texts, strict=True) if t == r[1] or any(len(x) >= line_dedup.MIN_CHARS for x in t.split("\n"))]
+            texts = deduplicated([r[:2] for r in before])
+            expected = [(r[0], t, *r[2:4], len(t)) for r, t in zip(before, texts, strict=True) if t == r[1] or t.strip()]
         elif name == "n-gram Jaccard join":
             expected = list({r[:2]: r for r in before if r[0] is None}.values())
             top = {d: c for d, _, c in brute.similar([r[:2] for r in before if r[0] is not None])}
