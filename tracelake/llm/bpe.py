@@ -40,7 +40,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Pre-tokens of more bytes are merged one by one and not cached.
 LONG_PIECE = 64
 #: Bytes that a worker's cache of merged slices may take, by a rough count of 200 for each entry besides its bytes.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 8 << 20
 #: White space of the pattern's \s
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _PLANES: dict[int, np.ndarray] = {}
