@@ -65,6 +65,10 @@ class Phrase:
     def pattern(self) -> str:
         return "^" * self.first + "".join(f" {w}" for w in self.words) + ("[^ ]*" if self.prefix else "") + "(?= )"
 
+    def counted(self) -> str:
+        """A pattern found once for each place at which the phrase begins, places that overlap too."""
+        return self.pattern() if len(self.words) < 2 else f"(?={self.pattern()})"
+
 
 @dataclass(frozen=True)
 class Near:
@@ -209,7 +213,8 @@ class _Parser:
         self.take(")")
         if not found or len(found) > 5:
             raise QuerySyntaxError("NEAR takes one to five phrases")
-        return Near(tuple(found), distance)
+        found = [x for x in found if x.words]
+        return Near(tuple(found), distance) if found else Phrase(())
 
     def phrase(self):
         words = []
@@ -265,7 +270,7 @@ def ranked(table: DataFrame, tree, *columns: str) -> DataFrame:
     rows = table.withColumns({f"__tokens{i}": tokens(c) for i, c in enumerate(columns)}).withColumn("__n", functools.reduce(lambda a, b: a + b, (F.size(f"__tokens{i}") for i in range(len(columns)))))
     rows = rows.withColumns({f"__text{i}": F.concat(F.lit(" "), F.array_join(f"__tokens{i}", " "), F.lit(" ")) for i in range(len(columns))}).drop(*(f"__tokens{i}" for i in range(len(columns))))
     for i, t in enumerate(terms):
-        rows = rows.withColumn(f"__f{i}", functools.reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(t.pattern())) for x in _where(t, texts)), F.lit(0)))
+        rows = rows.withColumn(f"__f{i}", functools.reduce(lambda a, b: a + b, (F.regexp_count(x, F.lit(t.counted())) for x in _where(t, texts)), F.lit(0)))
     stats = rows.agg(F.count("*").alias("__rows"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))))
     found = rows.where(_matches(tree, texts)).join(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -285,9 +290,9 @@ def _tree(text: str):
 
 def search(
     messages: DataFrame, sessions: DataFrame, text: str, limit: int | None = None, session_id: str | None = None, project: str | None = None, project_path: str | None = None, after: str | None = None,
-    before: str | None = None, cwd: str | None = None, source: str | None = None, include_meta: bool = False, include_inactive: bool = False, snippet_tokens: int | None = None, fallback: str | None = None,
+    before: str | None = None, cwd: str | None = None, source: str | None = None, include_meta: bool = False, include_inactive: bool = False, snippet_tokens: int | None = None, fallback: str | None = None, index=None,
 ) -> DataFrame:
-    """The best hits with their session; see `tools.neighbours_in_time` for what surrounds them."""
+    """The best hits with their session, by a scan or by a `search_index.Index` of the messages' text; see `tools.neighbours_in_time` for what surrounds them."""
     n = p.limit_of(limit, 20)
     if snippet_tokens is not None and not 1 <= snippet_tokens <= 64:
         raise ValueError("search() snippet_tokens must be from 1 to 64")
@@ -296,7 +301,7 @@ def search(
         s = sessions.select(F.col("id").alias("session_id"), "title", "project", "project_path", "started_at", F.col("source").alias("session_source"))
         if tree is None:
             return messages.withColumn("rank", F.lit(0.0)).join(s, "session_id", "left").where("false")
-        found = ranked(messages, tree, "text").join(s, "session_id", "left").where(p.is_visible(include_inactive=include_inactive))
+        found = (ranked(messages, tree, "text") if index is None else index.hits(messages, tree)).join(s, "session_id", "left").where(p.is_visible(include_inactive=include_inactive))
         if not include_meta:
             found = found.where(p.not_meta())
         for c in p.scope({"session_id": "session_id", "project": "project", "timestamp": "timestamp"}, session_id=session_id, project=project, after=after, before=before):
@@ -352,15 +357,15 @@ def best_window(text: str | None, terms: list[Phrase], size: int) -> str | None:
     return ("…" if at else "") + text[low:high] + ("…" if at + size < len(spans) else "")
 
 
-def search_memories(memories: DataFrame, sessions: DataFrame, text: str, limit: int | None = None, **scope) -> DataFrame:
-    """Active memories by safe-term AND over path and summary, best first, then newest."""
+def search_memories(memories: DataFrame, sessions: DataFrame, text: str, limit: int | None = None, index=None, **scope) -> DataFrame:
+    """Active memories by safe-term AND over path and summary, best first, then newest; `index`: as in search()."""
     from tracelake.operators import memories as m
 
     m.assert_english(text, "memories() query")
     tree = safe_query(text)
     if tree is None:
         return memories.withColumn("rank", F.lit(0.0)).where("false")
-    found = ranked(memories, tree, "path", "summary").where("deleted_at is null")
+    found = (ranked(memories, tree, "path", "summary") if index is None else index.hits(memories, tree)).where("deleted_at is null")
     columns = {"session_id": "session_id", "project": "project", "timestamp": "created_at"}
     if any(scope.get(k) for k in ("branch", "source")):
         found = found.join(sessions.select(F.col("id").alias("session_id"), "git_branch", F.col("source").alias("session_source")), "session_id", "left")

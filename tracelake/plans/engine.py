@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import predicates as p
 from tracelake.operators import agents, guard, memories, messages, overview, search, sessions, tools, usage
+from tracelake.operators.search_index import Index
 from tracelake.plans import schema
 
+#: Key and searched columns of the tables with an index.
+INDEXED = {"messages": ("uuid", "text"), "memories": ("id", "path", "summary")}
+
 
 class ParquetTables:
     """Canonical tables of a folder, one Parquet folder each; absent tables are empty."""
@@ -28,12 +32,19 @@ class ParquetTables:
 class Engine:
     """Read helpers over tables with the canonical attributes; a string option is a session id, a number a limit."""
 
-    def __init__(self, tables, session_id: str | None = None):
-        self.t, self.session_id = tables, session_id
+    def __init__(self, tables, session_id: str | None = None, indexes: dict | None = None):
+        """`indexes`: search_index.Index by table name (messages, memories), used instead of scans."""
+        self.t, self.session_id, self.indexes = tables, session_id, indexes or {}
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Engine:
-        return cls(ParquetTables(spark, path))
+    def open(cls, spark: SparkSession, path: str, indexes: str | None = None) -> Engine:
+        """The tables of a folder; with the folder of their indexes, these are brought up to date and searched."""
+        engine = cls(ParquetTables(spark, path))
+        if indexes is not None:
+            engine.indexes = {n: Index(spark, f"{indexes.rstrip('/')}/{n}", *c) for n, c in INDEXED.items()}
+            for name, index in engine.indexes.items():
+                index.refresh(getattr(engine.t, name))
+        return engine
 
     @staticmethod
     def _options(arg, options: dict) -> dict:
@@ -52,7 +63,7 @@ class Engine:
         """(hits, context rows)."""
         if not 0 <= context_limit <= 6:
             raise ValueError("search() context_limit must be from 0 to 6")
-        hits = search.search(self.t.messages, self.t.sessions, text, **options)
+        hits = search.search(self.t.messages, self.t.sessions, text, index=self.indexes.get("messages"), **options)
         return hits, tools.neighbours_in_time(hits, self.t.messages, context_limit)
 
     def messages(self, arg=None, **options):
@@ -82,7 +93,7 @@ class Engine:
         o = self._options(arg, options)
         if query is None:
             return memories.scoped(self.t.memories, self.t.sessions, **o)
-        return search.search_memories(self.t.memories, self.t.sessions, query, **o)
+        return search.search_memories(self.t.memories, self.t.sessions, query, index=self.indexes.get("memories"), **o)
 
     def subagents(self, arg=None, **options) -> DataFrame:
         return agents.subagents(self.t.subagents, self.t.messages, self.t.sessions, **self._options(arg, options))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelake.functions import storage
 from tracelake.operators import search as x
 from tracelake.operators import tools
+from tracelake.operators.search_index import Index
 from tracelake.plans.registry import query
 
 
@@ -56,6 +58,41 @@ def x3(t):
     return tools.neighbours_in_time(x.search(t.messages, t.sessions, "the and"), t.messages)
 
 
+def _messages_index(t) -> Index:
+    index = Index(t.spark, storage.scratch(t.spark), "uuid", "text")
+    index.refresh(t.messages)
+    return index
+
+
+@query("X1_stored_index", f", {_bm25('messages', 'uuid', 'text', ['the', 'and'])}, {_HITS} SELECT uuid, session_id, timestamp, round(rank, 6) AS rank FROM hits", _MS)
+def x1_stored(t):
+    return x.search(t.messages, t.sessions, "the and", index=_messages_index(t)).select("uuid", "session_id", "timestamp", F.round("rank", 6).alias("rank"))
+
+
+@query("X2_stored_phrase_prefix", """, toks AS (SELECT uuid, visibility, is_meta, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' '), ' ') AS t FROM messages)
+    SELECT uuid FROM toks WHERE ((contains(t, ' of the ') AND regexp_matches(t, ' an[^ ]* ')) OR starts_with(t, ' die ')) AND coalesce(visibility, 'visible') = 'visible' AND coalesce(is_meta, 0) = 0""", ("messages",))
+def x2_stored(t):
+    return x.search(t.messages, t.sessions, '("of the" an*) OR ^die', limit=100_000_000, index=_messages_index(t)).select("uuid")
+
+
+@query("X5_stored_memories", f", {_bm25('memories', 'id', chr(39) + chr(39) + ' || path || chr(32) || summary', ['the', 'src1'])} SELECT id, created_at, round(rank, 6) AS rank FROM ranked WHERE f0 > 0 AND f1 > 0 AND deleted_at IS NULL ORDER BY ranked.rank, created_at DESC, id LIMIT 50", ("memories",))
+def x5_stored(t):
+    index = Index(t.spark, storage.scratch(t.spark), "id", "path", "summary")
+    index.refresh(t.memories)
+    return x.search_memories(t.memories, t.sessions, "the src1", index=index).select("id", "created_at", F.round("rank", 6).alias("rank"))
+
+
+@query("M13_index_refresh", f", {_bm25('messages', 'uuid', 'text', ['the', 'die'])} SELECT uuid, round(rank, 6) AS rank FROM ranked WHERE f0 > 0 OR f1 > 0", ("messages",))
+def m13(t):
+    """An index of an earlier state, in which rows had other texts, were missing or have gone since, brought to the present one."""
+    index = Index(t.spark, storage.scratch(t.spark), "uuid", "text")
+    kind = F.pmod(F.xxhash64("uuid"), F.lit(4))
+    before = t.messages.where(kind != 0).withColumn("text", F.when(kind == 1, F.concat(F.lit("the die "), "text")).otherwise(F.col("text")))
+    index.refresh(before.unionByName(before.withColumn("uuid", F.concat("uuid", F.lit("-gone")))))
+    index.refresh(t.messages)
+    return index.ranked(x.parse("the OR die")).select(F.col("key").alias("uuid"), F.round("rank", 6).alias("rank"))
+
+
 @query("X4_F19_snippets")
 def x4(t):
     return x.search(t.messages, t.sessions, "the and", snippet_tokens=12).select("uuid", "text", "text_length", "is_snippet")
