@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,14 +64,34 @@ def thread(messages: DataFrame, session_id: str, include_meta: bool = False, inc
     return messages.where((F.col("session_id") == session_id) & qualifies(include_meta, include_inactive)).orderBy(F.asc_nulls_first("timestamp"), "uuid")
 
 
+def related(messages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(uuid, parent_uuid) of the anchors' sessions, and of all sessions that parents lead to from there: no chain leaves them.
+
+    Parents mostly stay in their session, so this is two rounds of joins against a narrow
+    scan, after which only these sessions' rows are written and shuffled.
+    """
+    links = messages.select("uuid", "parent_uuid", "session_id")
+    fresh = written(links.join(anchors.select("uuid").distinct(), "uuid", "left_semi").select("session_id").distinct())
+    parts: list[DataFrame] = []
+    while not fresh.isEmpty():
+        own = links.join(fresh.select(F.col("session_id").alias("__s")), F.col("session_id").eqNullSafe(F.col("__s")), "left_semi")
+        parts.append(written(own))
+        held = functools.reduce(DataFrame.unionByName, parts)
+        beyond = parts[-1].where("parent_uuid is not null").select(F.col("parent_uuid").alias("uuid")).distinct().join(held.select("uuid"), "uuid", "left_anti")
+        met = links.join(written(beyond), "uuid", "left_semi").select("session_id").distinct()
+        known = held.select(F.col("session_id").alias("__s")).distinct()
+        fresh = written(met.join(known, F.col("session_id").eqNullSafe(F.col("__s")), "left_anti"))
+    return functools.reduce(DataFrame.unionByName, parts).select("uuid", "parent_uuid") if parts else links.where("false").select("uuid", "parent_uuid")
+
+
 def ancestors(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor, uuid, depth): each anchor's distinct ancestors (depth 0 is the anchor itself).
 
-    Pointer doubling: after k rounds a chain reaches 2^k up, so a chain of 10,000 costs 14
-    joins of narrow columns. A cycle adds no new uuid and ends the search; a missing parent
-    ends its chain.
+    Pointer doubling over the sessions that the anchors' chains run through: after k rounds a
+    chain reaches 2^k up, so a chain of 10,000 costs 14 joins of narrow columns. A cycle adds
+    no new uuid and ends the search; a missing parent ends its chain.
     """
-    known = messages.select("uuid", "parent_uuid")
+    known = related(messages, anchors)
     jump = known.join(known.select(F.col("uuid").alias("parent_uuid")), "parent_uuid").select("uuid", F.col("parent_uuid").alias("up"))
     jump = written(jump)
     chain = written(anchors.select(F.col("uuid").alias("anchor"), "uuid", F.lit(0).cast("long").alias("depth")))

@@ -23,3 +23,9 @@ def raw_windows(lines: DataFrame, wanted: DataFrame, offset: int = 0, limit: int
     found = named.join(wanted.select("uuid").distinct(), "uuid", "left_semi")
     first = found.groupBy("uuid").agg(F.min_by(F.struct("path", "number", "line"), F.struct("path", "number")).alias("r"))
     return first.select("uuid", "r.path", "r.number", F.char_length("r.line").alias("length"), F.expr(f"substring(r.line, {start + 1}, {n})").alias("text"))
+
+
+def unreadable(lines: DataFrame) -> DataFrame:
+    """(path, number, line) of the ended, non-blank raw lines that aren't JSON objects: what parsers of line sources pass over."""
+    kind = F.schema_of_variant(F.try_parse_json("line"))
+    return lines.where(F.col("terminated") & (F.trim("line") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).select("path", "number", "line")
