@@ -4,6 +4,7 @@ import json
 import threading
 
 import pytest
+import zstandard
 
 from tests.test_sources import log, user
 from tracelake.operators import memories, merge
@@ -109,3 +110,32 @@ def test_results_and_memory_files(spark, tmp_path):
     assert results.run(lambda: 1 / 0, said.append) == 1 and set(json.loads(said[0])) == {"error", "stack"}
     (tmp_path / "m.md").write_text("# é")
     assert memories.file_text(spark, f"file://{tmp_path}/m.md") == "# é" and memories.file_text(spark, f"file://{tmp_path}/none.md") is None
+
+
+def test_a_unit_that_cannot_be_read_is_skipped_and_kept(spark, tmp_path):
+    def rollout(*texts):
+        return zstandard.ZstdCompressor().compress(log({"type": "session_meta", "payload": {"id": "R", "cwd": "/w"}}, *({"type": "event_msg", "payload": {"type": "user_message", "message": t}} for t in texts)))
+
+    def texts(store):
+        return sorted(r.text for r in store.tables()["messages"].collect())
+
+    root, store, path = tmp_path / "logs", merge.Store(spark, str(tmp_path / "store")), "rollout-R.jsonl.zst"
+    write(root, "projects/-w/A.jsonl", log(user("a1", "one")))
+    write(root, path, rollout("first"))
+    ingest.reconcile(spark, str(root), store, "whole")
+    assert texts(store) == ["first", "one"]
+    write(root, path, rollout("first", "second")[:-6])
+    write(root, "projects/-w/A.jsonl", log(user("a1", "one"), user("a2", "two", "a1")))
+    with pytest.raises(Exception, match="zstd"):
+        ingest.reconcile(spark, str(root), store, "stopped", on_error="stop")
+    assert texts(store) == ["first", "one"]
+    number = ingest.reconcile(spark, str(root), store, "torn")
+    assert texts(store) == ["first", "one", "two"]
+    state = {r.jsonl_path.rsplit("/", 1)[1]: (r.replay_required, r.cursor) for r in store.tables()["index_state"].collect()}
+    assert state["A.jsonl"][0] == 0 and state["rollout-R.jsonl.zst"][0] == 1 and "zstd" in state["rollout-R.jsonl.zst"][1]
+    assert ingest.reconcile(spark, str(root), store, "unchanged") == number
+    assert ingest.reconcile(spark, str(root), store, "tried again", retry=True) == number + 1 and texts(store) == ["first", "one", "two"]
+    write(root, path, rollout("first", "second"))
+    ingest.reconcile(spark, str(root), store, "mended")
+    assert texts(store) == ["first", "one", "second", "two"]
+    assert {r.replay_required for r in store.tables()["index_state"].collect()} == {0}

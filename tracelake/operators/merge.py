@@ -163,10 +163,10 @@ def apply(tables: dict[str, DataFrame], records: dict[str, DataFrame], base: int
 
     Deletes are barriers: what came before one of its session is gone, what comes after stays.
     `again` (session_id) names sessions of which the records are a whole new reading, `forgotten`
-    (jsonl_path) the cursors of files that are gone.
+    (jsonl_path) the cursors of files that are gone. `failures` change nothing but their cursors.
     """
     out = dict(tables)
-    records = dict(records)
+    records = {k: v for k, v in records.items() if k != "failures"}
     again, forgotten = records.pop("again", None), records.pop("forgotten", None)
     if again is not None:
         out = retracted(out, records, again)

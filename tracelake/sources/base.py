@@ -82,9 +82,12 @@ def owned(found: DataFrame, sources: Iterable[Source]) -> DataFrame:
 
 
 def changed_units(found: DataFrame, state: DataFrame, *sources: Source) -> DataFrame:
-    """(source, unit) of which a file is new, or has another time or size than index_state says, or is gone."""
+    """(source, unit) of which a file is new, or has another time or size than index_state says, or is gone.
+
+    A unit that couldn't be read is tried again when one of its files changes.
+    """
     marks = owned(found.select("path", F.concat_ws(":", F.unix_millis("modified"), "size").alias("mark")), sources)
-    known = owned(state.select(F.col("jsonl_path").alias("path"), "cursor"), sources)
+    known = owned(state.select(F.col("jsonl_path").alias("path"), F.substring_index("cursor", " ", 1).alias("cursor")), sources)
     both = marks.join(known, ["path", "source", "unit"], "full")
     return both.where(~F.col("mark").eqNullSafe(F.col("cursor"))).select("source", "unit").distinct()
 
@@ -100,20 +103,40 @@ def files_of(found: DataFrame, units: DataFrame, sources: Iterable[Source]) -> D
     return found.join(paths, "path", "left_semi").select(*found.columns)
 
 
-def cursors(found: DataFrame) -> DataFrame:
-    """index_state rows of the files as they are now."""
+def cursors(found: DataFrame, failures: DataFrame | None = None, sources: Iterable[Source] = ()) -> DataFrame:
+    """index_state rows of the files as they are now; those of failed units (source, unit, error) are to be replayed, and say why."""
     mark = F.concat_ws(":", F.unix_millis("modified"), "size")
-    return found.select(F.col("path").alias("jsonl_path"), F.unix_millis("modified").cast("double").alias("mtime"), F.lit(None).cast("long").alias("lines_processed"), F.lit(0).alias("replay_required"), mark.alias("cursor"), F.unix_millis("modified").alias("seq"))
+    known = found.select("path", "modified", mark.alias("mark"))
+    if failures is None:
+        known = known.withColumn("error", F.lit(None).cast("string"))
+    else:
+        failed = owned(found.select("path"), sources).join(failures, ["source", "unit"]).groupBy("path").agg(F.min("error").alias("error"))
+        known = known.join(failed, "path", "left")
+    at = F.unix_millis("modified")
+    return known.select(F.col("path").alias("jsonl_path"), at.cast("double").alias("mtime"), F.lit(None).cast("long").alias("lines_processed"), F.col("error").isNotNull().cast("int").alias("replay_required"), F.concat_ws(" ", "mark", "error").alias("cursor"), at.alias("seq"))
 
 
-def records(found: DataFrame, *sources: Source) -> DataFrame:
-    """RECORDS of all units of the files, each unit parsed once, in one task, whatever source it is of."""
+def records(found: DataFrame, *sources: Source, on_error: str = "stop") -> DataFrame:
+    """RECORDS of all units of the files, each unit parsed once, in one task, whatever source it is of.
+
+    With on_error="skip", a unit that its parser can't read yields one record of the kind
+    `failure` that says why, and none of its rows.
+    """
+    if on_error not in ("stop", "skip"):
+        raise ValueError("on_error must be stop or skip")
     by_name = {s.name: s for s in sources}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = {p: bytes(c) for p, c in sorted(zip(group["path"], group["content"], strict=True))}
         name, key = group["source"].iloc[0], group["unit"].iloc[0]
-        out = [(name, key, i, kind, row.get("session_id") or (row.get("id") if kind == "sessions" else None), json.dumps(row, ensure_ascii=False)) for i, (kind, row) in enumerate(by_name[name].parse(own))]
+        try:
+            out = [(name, key, i, kind, row.get("session_id") or (row.get("id") if kind == "sessions" else None), json.dumps(row, ensure_ascii=False)) for i, (kind, row) in enumerate(by_name[name].parse(own))]
+        except (ImportError, MemoryError):  # the worker's fault, not the unit's
+            raise
+        except Exception as e:  # noqa: BLE001  a parser of foreign files may raise anything
+            if on_error == "stop":
+                raise
+            out = [(name, key, 0, "failure", None, json.dumps({"error": f"{type(e).__name__}: {e}"[:500]}, ensure_ascii=False))]
         return pd.DataFrame(out, columns=["source", "unit", "seq", "kind", "session_id", "body"])
 
     # units are dealt out by path and source alone; contents follow once
@@ -161,10 +184,15 @@ def ingest(spark: SparkSession, root: str, names: Iterable[str] | None = None, s
     return parsed(found if state is None else changed_files(found, state, *sources), names)
 
 
-def parsed(found: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """The records by kind of files (path, modified, size, content). They are parsed once and written; tables read them back."""
+def parsed(found: DataFrame, names: Iterable[str] | None = None, on_error: str = "stop") -> dict[str, DataFrame]:
+    """The records by kind of files (path, modified, size, content). They are parsed once and written; tables read them back.
+
+    `failures` are the (source, unit, error) that on_error="skip" has left out.
+    """
     sources = [REGISTRY[n] for n in names or sorted(REGISTRY)]
-    return {**tables_of(written(numbered(written(records(found, *sources))))), "cursors": cursors(found)}
+    told = written(numbered(written(records(found, *sources, on_error=on_error))))
+    failures = told.where("kind = 'failure'").select("source", "unit", F.get_json_object("body", "$.error").alias("error"))
+    return {**tables_of(told), "failures": failures, "cursors": cursors(found, failures, sources)}
 
 
 # ---- what parsers share ----

@@ -27,8 +27,8 @@ def stream_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataF
 
 
 def merge_files(store: merge.Store, found: DataFrame, batch: str) -> int:
-    """Parses the files of all sources in found (path, modified, size, content) and publishes the merged tables."""
-    return store.merge(base.parsed(found), batch)
+    """Parses the files of all sources in found (path, modified, size, content) and publishes the merged tables; units that can't be read are left out and told in index_state."""
+    return store.merge(base.parsed(found, on_error="skip"), batch)
 
 
 def ingest(spark: SparkSession, root: str, store: merge.Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -42,20 +42,25 @@ def ingest(spark: SparkSession, root: str, store: merge.Store, checkpoint: str,
     return stream_files(spark, root).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def reconcile(spark: SparkSession, root: str, store: merge.Store, batch: str) -> int:
+def reconcile(spark: SparkSession, root: str, store: merge.Store, batch: str, on_error: str = "skip", retry: bool = False) -> int:
     """Merges the units of which a file is new, changed or gone since its cursor; a number of the current version if none is.
 
     Units are read whole, so what a session had before and the new reading doesn't have goes:
-    the messages cut off from a file, and a session whose files are gone.
+    the messages cut off from a file, and a session whose files are gone. A unit that can't be
+    read is skipped: its sessions stay as they were, its files' cursors say why, and it's read
+    again when one of its files changes or with `retry`; on_error="stop" raises instead.
     """
     sources = list(base.REGISTRY.values())
     tables = store.tables()
     state = tables["index_state"]
+    if retry:
+        state = state.withColumn("cursor", F.when(F.coalesce("replay_required", F.lit(0)) == 0, F.col("cursor")))
     found = base.files(spark, root, *sources)
     units = written(base.changed_units(found, state, *sources))
     if units.isEmpty():
         return (store.version() or (0, ""))[0]
-    records = base.parsed(base.files_of(found, units, sources))
+    records = base.parsed(base.files_of(found, units, sources), on_error=on_error)
+    units = units.join(records["failures"], ["source", "unit"], "left_anti")
     held = base.owned(state.select(F.col("jsonl_path").alias("path")), sources).join(units, ["source", "unit"], "left_semi").select("path").distinct()
     told = tables["sessions"].join(held, F.col("jsonl_path") == F.col("path"), "left_semi").select(F.col("id").alias("session_id"))
     again = records["sessions"].select(F.col("id").alias("session_id")).unionByName(told).unionByName(records["messages"].select("session_id"))
