@@ -101,3 +101,16 @@ def test_other_columns_are_refused(spark, table):
         Index(spark, index.path, "id", "path").ranked(x.parse("fox"))
     with pytest.raises(ValueError):
         Index(spark, storage.scratch(spark), "id", "path").ranked(x.parse("fox"))
+
+
+def test_engine_searches_its_indexes(spark, tmp_path):
+    from tracelake.plans import schema
+    from tracelake.plans.engine import Engine
+
+    rows = [("m1", "s", "the quick fox"), ("m2", "s", "a fox"), ("m3", "s", "nothing")]
+    schema.migrated(spark.createDataFrame(rows, "uuid string, session_id string, text string"), "messages").write.parquet(f"{tmp_path}/t/messages")
+    scan, stored = Engine.open(spark, f"{tmp_path}/t"), Engine.open(spark, f"{tmp_path}/t", indexes=f"file://{tmp_path}/i")
+    for text in ("fox", "fox NOT quick", "none of these"):
+        a, b = ([(r.uuid, round(r["rank"], 9)) for r in e.search(text)[0].collect()] for e in (scan, stored))
+        assert a == b
+    assert stored.memories(query="fox").count() == 0

@@ -93,7 +93,19 @@ def m13(t):
     return index.ranked(x.parse("the OR die")).select(F.col("key").alias("uuid"), F.round("rank", 6).alias("rank"))
 
 
-@query("X4_F19_snippets")
+_SNIPPETS = """, page AS (SELECT h.uuid, m.text, regexp_extract_all(m.text, '[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+') AS parts FROM hits h JOIN messages m USING (uuid)),
+    cells AS (SELECT uuid, unnest(parts) AS part, unnest(range(len(parts))) AS i, len(parts) AS n FROM page),
+    words AS (SELECT uuid, i, n, regexp_extract(part, '[\\p{L}\\p{N}]+$') AS w, sum(length(part)) OVER (PARTITION BY uuid ORDER BY i) AS stop FROM cells),
+    terms AS (SELECT *, strip_accents(lower(w)) AS word FROM words WHERE strip_accents(lower(w)) IN ('the', 'and')),
+    starts AS (SELECT uuid, 0 AS s FROM page UNION SELECT uuid, greatest(0, least(i, n - 12)) FROM terms),
+    valued AS (SELECT s.uuid, s.s, count(DISTINCT t.word) AS different, count(t.word) AS every FROM starts s LEFT JOIN terms t ON t.uuid = s.uuid AND t.i >= s.s AND t.i < s.s + 12 GROUP BY 1, 2),
+    best AS (SELECT uuid, s FROM valued QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY different DESC, every DESC, s) = 1),
+    cuts AS (SELECT p.uuid, p.text, len(p.parts) AS n, b.s, CASE WHEN b.s > 0 THEN l.stop - length(l.w) ELSE 0 END::BIGINT AS low, CASE WHEN b.s + 12 < len(p.parts) THEN r.stop ELSE length(p.text) END::BIGINT AS high
+      FROM page p JOIN best b USING (uuid) LEFT JOIN words l ON l.uuid = p.uuid AND l.i = b.s LEFT JOIN words r ON r.uuid = p.uuid AND r.i = b.s + 11)
+    SELECT uuid, CASE WHEN n <= 12 THEN text ELSE concat(CASE WHEN s > 0 THEN '…' ELSE '' END, substring(text, low + 1, high - low), CASE WHEN s + 12 < n THEN '…' ELSE '' END) END AS text, length(text)::INTEGER AS text_length, true AS is_snippet FROM cuts"""
+
+
+@query("X4_F19_snippets", f", {_bm25('messages', 'uuid', 'text', ['the', 'and'])}, {_HITS}{_SNIPPETS}", _MS)
 def x4(t):
     return x.search(t.messages, t.sessions, "the and", snippet_tokens=12).select("uuid", "text", "text_length", "is_snippet")
 
