@@ -71,6 +71,9 @@ def test_refresh_follows_the_table(spark, table):
     index.refresh(table, full=True)
     assert len(index._segments()) == 1
     assert answers(index.ranked(x.parse("fox")), "key") == before
+    held = len(storage.names_in(spark, f"{index.path}/parts"))
+    index.refresh(table.where("id <> 'a'"), full=True)
+    assert held == 6 and len(storage.names_in(spark, f"{index.path}/parts")) == 2 and index.current(table.where("id <> 'a'"))
 
 
 def test_one_of_two_writers_publishes(spark, table, monkeypatch):

@@ -9,7 +9,8 @@ text is read or tokenised to answer a query.
 
 `refresh` compares the table with what is indexed by a hash of its columns and writes a new
 segment of what differs, with the keys that are gone; a posting holds unless a later segment
-names its key. Segments are published by compare-and-set, as the versions of `merge.Store`.
+names its key. A full refresh puts one segment in the place of all. Segments are published
+by compare-and-set, as the versions of `merge.Store`.
 """
 
 from __future__ import annotations
@@ -101,8 +102,18 @@ class Index:
             at, fs = storage.filesystem(self.spark, self.path)
             fs.delete(at(f"{self.path}/{folder}"), True)
             raise Conflict(f"segment {number} is another writer's")
+        if full:
+            self._expire()
         return True
 
+    def _expire(self) -> None:
+        """Deletes the segments before the last full one but one, which readers that began with that don't need."""
+        at, fs = storage.filesystem(self.spark, self.path)
+        told = [json.loads(storage.text_at(self.spark, f"{self.path}/segments/{name}")) for name in storage.names_in(self.spark, f"{self.path}/segments")]
+        fulls = [i for i, s in enumerate(told) if s["full"]]
+        for s in told[: fulls[-2]] if len(fulls) > 1 else []:
+            fs.delete(at(f"{self.path}/{s['folder']}"), True)
+
     def current(self, table: DataFrame) -> bool:
         """Whether the index holds the table's rows as they are."""
         segments = self._segments()
