@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,17 @@ def bundled(t) -> DataFrame:
 
 
 def _per_session(t, function, column: str) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[str, list[dict]] = {k: [] for k in KINDS}
-        for kind, body in group.sort_values(["kind", "seq"], kind="stable")[["kind", "body"]].itertuples(index=False):
-            rows[kind].append(json.loads(body))
-        return pd.DataFrame({"session_id": [group["session_id"].iloc[0]], column: [json.dumps(function(rows), ensure_ascii=False)]})
+    def run(group: pa.Table) -> pa.Table:
+        rows: dict[str, list[dict]] = {}
+        for kind in KINDS:
+            own = group.filter(pc.equal(group["kind"], kind))
+            # sort_indices is stable; the bodies become one list, read in one go
+            body = own["body"].cast(pa.large_string()).take(pc.sort_indices(own["seq"])).combine_chunks()
+            joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(body)], body), pa.scalar(",", pa.large_string()))
+            rows[kind] = json.loads(f"[{joined[0].as_py()}]")
+        return pa.table({"session_id": [group["session_id"][0].as_py()], column: [json.dumps(function(rows), ensure_ascii=False)]})
 
-    return bundled(t).groupBy("session_id").applyInPandas(run, f"session_id string, {column} string")
+    return bundled(t).groupBy("session_id").applyInArrow(run, f"session_id string, {column} string")
 
 
 def _visible(m: dict) -> bool:
@@ -65,35 +70,52 @@ def detail(rows: dict) -> dict:
     shown.sort(key=lambda m: (m.get("timestamp") or "", m["uuid"]))
     own = {m["uuid"] for m in shown}
     calls = _calls(rows)
-    attached = {r["message_uuid"] for r in rows["tool_results"] if any(c["id"] == r["tool_use_id"] for u in own for c in calls.get(u, []))}
+    asked = {c["id"] for u in own for c in calls.get(u, [])}
+    attached = {r["message_uuid"] for r in rows["tool_results"] if r["tool_use_id"] in asked}
     thoughts: dict[str, list[str]] = {}
     for m in shown:
         parent = m.get("parent_uuid")
         if m.get("content_type") == "thinking" and parent in own and m["uuid"].startswith(f"{parent}:think"):
             thoughts.setdefault(parent, []).append(m.get("text") or "")
     out: list[dict] = []
+    # of the last entry: how many of its calls are skills, and the texts of a run of thinking
+    skills, parts = 0, []
     for m in shown:
         kind, parent = m.get("content_type"), m.get("parent_uuid")
         if kind == "thinking" and parent in thoughts and m["uuid"].startswith(f"{parent}:think"):
             continue
         if kind == "tool_result" and (m["uuid"] in attached or not m.get("text")):
             continue
-        row = {**m, "tool_calls": calls.get(m["uuid"], [])}
+        row = {**m, "tool_calls": list(calls.get(m["uuid"], []))}
+        own_skills = sum(c.get("presentation") == "skill" for c in row["tool_calls"])
         if m["uuid"] in thoughts:
             row["_thinking"] = "\n\n".join(thoughts[m["uuid"]])
         last = out[-1] if out else None
-        if kind == "skill_instructions" and last and any(c.get("presentation") == "skill" for c in last["tool_calls"]):
+        if kind == "skill_instructions" and skills:
             last["_skillMd"] = m.get("text")
         elif kind == "thinking" and last and last.get("content_type") == "thinking" and last.get("role") == m.get("role"):
-            last["text"] = "\n\n".join(x for x in (last.get("text"), m.get("text")) if x)
-        elif kind == "tool_use" and not _skill_only(row) and last and last.get("role") == "assistant" and last.get("content_type") in ("text", "tool_use") and not _skill_only(last):
+            parts.append(m.get("text"))
+        elif kind == "tool_use" and not _only(own_skills, row) and last and last.get("role") == "assistant" and last.get("content_type") in ("text", "tool_use") and not _only(skills, last):
             # a run of calls is one entry, and an assistant's text takes in the calls that follow it
-            last["tool_calls"] = last["tool_calls"] + row["tool_calls"]
+            last["tool_calls"] += row["tool_calls"]
+            skills += own_skills
         else:
+            _join(last, parts)
             out.append(row)
+            skills, parts = own_skills, [m.get("text")]
+    _join(out[-1] if out else None, parts)
     return {"session": session, "messages": out, "workflows": rows["workflows"], "summaries": [s for s in rows["summaries"] if _visible(s)]}
 
 
+def _join(entry: dict | None, parts: list) -> None:
+    if len(parts) > 1:
+        entry["text"] = "\n\n".join(x for x in parts if x)
+
+
+def _only(skills: int, row: dict) -> bool:
+    return 0 < skills == len(row["tool_calls"])
+
+
 def _skill_only(row: dict) -> bool:
     return bool(row["tool_calls"]) and all(c.get("presentation") == "skill" for c in row["tool_calls"])
 
