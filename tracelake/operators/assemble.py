@@ -19,18 +19,19 @@ KINDS = ("sessions", "messages", "tool_calls", "tool_results", "subagents", "wor
 MOST_PROBLEMS = 50
 
 
-def bundled(t) -> DataFrame:
-    """(session_id, kind, seq, body): every row of a session as JSON."""
+def bundled(t, columns: dict[str, tuple] | None = None) -> DataFrame:
+    """(session_id, kind, seq, body): every row of a session as JSON, of all kinds or those columns of those kinds."""
     parts = None
-    for kind in KINDS:
+    for kind in columns or KINDS:
         df = getattr(t, kind)
         key = "id" if kind == "sessions" else "session_id"
-        one = df.select(F.col(key).alias("session_id"), F.lit(kind).alias("kind"), F.col("ingest_seq").alias("seq"), F.to_json(F.struct(*df.columns)).alias("body"))
+        body = F.to_json(F.struct(*(columns[kind] if columns else df.columns)))
+        one = df.select(F.col(key).alias("session_id"), F.lit(kind).alias("kind"), F.col("ingest_seq").alias("seq"), body.alias("body"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.where("session_id is not null")
 
 
-def _per_session(t, function, column: str) -> DataFrame:
+def _per_session(parts: DataFrame, function, column: str) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         rows: dict[str, list[dict]] = {}
         for kind in KINDS:
@@ -41,7 +42,7 @@ def _per_session(t, function, column: str) -> DataFrame:
             rows[kind] = json.loads(f"[{joined[0].as_py()}]")
         return pa.table({"session_id": [group["session_id"][0].as_py()], column: [json.dumps(function(rows), ensure_ascii=False)]})
 
-    return bundled(t).groupBy("session_id").applyInArrow(run, f"session_id string, {column} string")
+    return parts.groupBy("session_id").applyInArrow(run, f"session_id string, {column} string")
 
 
 def _visible(m: dict) -> bool:
@@ -140,12 +141,25 @@ def items(found: dict) -> list[dict]:
 
 def details(t) -> DataFrame:
     """(session_id, detail) of all sessions, as JSON."""
-    return _per_session(t, detail, "detail")
+    return _per_session(bundled(t), detail, "detail")
+
+
+def item_rows(t) -> DataFrame:
+    """What timeline items are made of, for every row: of a message's text, whether there is one."""
+    return bundled(
+        t,
+        {
+            "messages": ("uuid", "session_id", "parent_uuid", "timestamp", "role", "content_type", "is_meta", "visibility", "agent_id", F.when(F.col("text") != "", F.lit("-")).alias("text")),
+            "tool_calls": ("id", "message_uuid", "presentation"),
+            "tool_results": ("tool_use_id", "message_uuid"),
+            "workflows": ("run_id", "parent_tool_use_id"),
+        },
+    )
 
 
 def timeline(t) -> DataFrame:
     """(session_id, k, kind, uuid) of all sessions' timeline items."""
-    found = _per_session(t, lambda rows: items(detail(rows)), "items")
+    found = _per_session(item_rows(t), lambda rows: items(detail(rows)), "items")
     kind = "array<struct<kind:string,uuid:string>>"
     return found.select("session_id", F.posexplode(F.from_json("items", kind)).alias("k", "i")).select("session_id", "k", "i.kind", "i.uuid")
 
@@ -286,4 +300,4 @@ def problems(found) -> list[str]:
 
 def sessions_usf(t, public: bool = False) -> DataFrame:
     """(session_id, usf) of all sessions, as JSON."""
-    return _per_session(t, (lambda rows: published(usf(rows))) if public else usf, "usf")
+    return _per_session(bundled(t), (lambda rows: published(usf(rows))) if public else usf, "usf")
