@@ -95,4 +95,23 @@ every AS (SELECT r, {_LIST} AS spans FROM (SELECT r, s, k, e FROM b UNION ALL SE
 SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in privacy.KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)
 """
 
-ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op7_privacy": PRIVACY, "op8_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION}
+#: Words are those of the pieces between base spans; all counts are over different texts.
+PRIVACY_WHOLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY t) AS r, t FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)),
+b AS ({_BASES}),
+p AS (SELECT r, s AS stop, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM (SELECT r, s, k, e FROM b UNION ALL SELECT r, length(t), 9, length(t) FROM d)),
+g AS (SELECT row_number() OVER (ORDER BY r, lo) AS id, r, lo, substr(t, lo + 1, stop - lo) AS piece FROM p JOIN d USING (r) WHERE stop > lo),
+w AS (SELECT r, lo + x.s AS s, lo + x.s + length(v) AS e, lower(v) AS term FROM ({_placed('piece', _TERMS, 'id', 'g')}) x JOIN g USING (id)),
+m AS (SELECT DISTINCT r, concat(k, ':', lower(v)) AS entity FROM b),
+df AS (SELECT term, count(DISTINCT r) AS df FROM w GROUP BY 1),
+n AS (SELECT entity, count(*) AS n, count(*) / (SELECT count(*) FROM d)::DOUBLE AS prior FROM m GROUP BY 1),
+f AS (SELECT entity, term FROM (SELECT DISTINCT r, term FROM w WHERE r IN (SELECT r FROM m)) JOIN m USING (r) JOIN n USING (entity) JOIN df USING (term) WHERE prior < 1 GROUP BY entity, term, prior, df
+      HAVING 1 - log2((count(*) + {privacy.SMOOTHING} * prior) / (df + {privacy.SMOOTHING})) / log2(prior) >= {privacy.DISCLOSURE}),
+x AS (SELECT DISTINCT w.r, w.s, 4 AS k, w.e FROM w JOIN m USING (r) JOIN f USING (entity, term)),
+base AS (SELECT r, {', '.join(f"count(*) FILTER (k = {i}) AS n_{k}" for i, k in enumerate(privacy.KINDS[:4]))}, {_LIST} AS base FROM b GROUP BY 1),
+every AS (SELECT r, {_LIST} AS spans FROM (SELECT r, s, k, e FROM b UNION ALL SELECT r, s, k, e FROM x) GROUP BY 1)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in privacy.KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents JOIN d ON d.t = coalesce(text, '') LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
+
+ORACLES = {"op4_ngram_join": NGRAM_JOIN, "op7_privacy": PRIVACY, "op7_privacy_whole": PRIVACY_WHOLE, "op8_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION}
